@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metaspan.llm.bpe import op5_bpe_encode
 from metaspan.llm.jaccard_join import op9_jaccard_join
+from metaspan.llm.pu_quality import op1_quality_classifier
 from metaspan.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe_encode": op5_bpe_encode,
     "op9_jaccard_join": op9_jaccard_join,
