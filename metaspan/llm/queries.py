@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metaspan.llm.bpe import op5_bpe_encode
 from metaspan.llm import license_scan, url_filter
+from metaspan.llm.collinear import op2_collinear_chaining
 from metaspan.llm.iblt_fingerprint import op3_iblt_fingerprint
 from metaspan.llm.jaccard_join import op9_jaccard_join
 from metaspan.llm.pfair_mix import op10_pfair_mix
@@ -16,6 +17,7 @@ from metaspan.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_collinear_chaining": op2_collinear_chaining,
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe_encode": op5_bpe_encode,
