@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from metaspan.llm.bpe import op5_bpe_encode
 from metaspan.llm import license_scan, url_filter
 from metaspan.llm.collinear import op2_collinear_chaining
+from metaspan.llm.embedding_dedup import op7_hnsw_dedup
 from metaspan.llm.iblt_fingerprint import op3_iblt_fingerprint
 from metaspan.llm.jaccard_join import op9_jaccard_join
 from metaspan.llm.pfair_mix import op10_pfair_mix
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_bpe_encode": op5_bpe_encode,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_hnsw_dedup": op7_hnsw_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pfair_mix": op10_pfair_mix,
