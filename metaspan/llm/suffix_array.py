@@ -100,9 +100,9 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, depth: int = 200) -> np.ndarr
     for at in range(0, depth, 8):
         a, b = sa[i - 1] + at, sa[i] + at
         x = w[np.minimum(a, n)] ^ w[np.minimum(b, n)]
-        lead = np.where(x == 0, 8, (64 - np.ceil(np.log2(x.astype(np.float64) + 1))).astype(np.int64) // 8)
-        # the logarithm may round up at a byte's edge; a shift settles it
-        lead = np.where((x != 0) & (lead < 8) & ((x >> (np.uint64(56) - np.minimum(lead, 7).astype(np.uint64) * np.uint64(8))) == 0), lead + 1, lead)
+        lead = np.full(len(x), 8, np.int64)  # equal leading bytes of the two words
+        for k in range(8):
+            lead -= (x >> np.uint64(56 - 8 * k)) != 0
         lead = np.minimum(lead, np.maximum(0, n - np.maximum(a, b)))
         out[i] += lead
         i = i[lead == 8]

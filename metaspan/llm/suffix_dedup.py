@@ -194,27 +194,33 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text and spans become kept (binary), n_bytes, n_removed and n_spans; the others pass."""
-    for batch in batches:
-        kept, n_bytes, gone, n = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
-            raw = bytes(text.as_buffer()) if text.is_valid else b""
-            cut = merged(spans.values.to_numpy(zero_copy_only=False)) if spans.is_valid else []
-            n_bytes.append(len(raw))
-            gone.append(sum(e - s for s, e in cut))
-            n.append(len(cut))
-            at = [0, *[x for span in cut for x in span], len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))
-        rest = [k for k in batch.schema.names if k not in ("text", "spans")]
-        yield pa.record_batch([*[batch.column(k) for k in rest], pa.array(kept, pa.binary()), *[pa.array(v, pa.int64()) for v in (n_bytes, gone, n)]], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs' rows with kept (binary, the remaining bytes), n_bytes, n_removed and n_spans in place of text.
+def _cut(as_text: bool):
+    """Columns text and spans become kept (binary) or text, then n_bytes, n_removed and n_spans; the others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, n_bytes, gone, n = [], [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                raw = bytes(text.as_buffer()) if text.is_valid else b""
+                cut = merged(spans.values.to_numpy(zero_copy_only=False)) if spans.is_valid else []
+                n_bytes.append(len(raw))
+                gone.append(sum(e - s for s, e in cut))
+                n.append(len(cut))
+                at = [0, *[x for span in cut for x in span], len(raw)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))
+            rest = [k for k in batch.schema.names if k not in ("text", "spans")]
+            out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.record_batch([*[batch.column(k) for k in rest], out, *[pa.array(v, pa.int64()) for v in (n_bytes, gone, n)]], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs' rows with kept (the remaining bytes), n_bytes, n_removed and n_spans in place of text.
 
     Matches never cross documents; null is empty; every byte in a `length`-byte string that starts anywhere else goes,
     so copies lose all occurrences. Repeated rows are documents of their own and thus copies. Row order is not kept.
+    With as_text kept is a string; what is left of a character that a cut went through is dropped then.
     Columns named key, did, kept, n_bytes, n_removed, n_spans or spans in docs are dropped. An empty table gives none.
     """
     prepare(docs.sparkSession)
@@ -226,7 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     both = keyed.join(spans, "key", "left").select("doc_id", *rest, "text", "spans")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     head = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *rest))
-    return both.mapInArrow(_cut, f"{head}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return both.mapInArrow(_cut(as_text), f"{head}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
