@@ -1,22 +1,18 @@
-"""Registry of the reference's operators: name -> (DataFrame query, equivalent SQL)."""
+"""Registry of the reference's operators: name -> DataFrame query, and name -> equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from metaspan import queries_relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for module in (queries_relational,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
 
-
-def seg_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-QUERIES["seg_revenue"] = seg_revenue
-ORACLES["seg_revenue"] = "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+queries_relational.sql("seg_revenue", "SELECT c_mktsegment, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment")
+QUERIES["seg_revenue"], ORACLES["seg_revenue"] = queries_relational.QUERIES["seg_revenue"], queries_relational.ORACLES["seg_revenue"]
