@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaspan import queries_relational
+from metaspan import queries_meta, queries_relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (queries_relational,):
+for module in (queries_relational, queries_meta):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
