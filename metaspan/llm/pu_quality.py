@@ -9,8 +9,8 @@ when the second part falls below zero, its own gradient is followed upwards, as
 is estimated from the training labels: the share of positives among labelled training rows (labels cover a random part
 of the corpus), smoothed by one row of either kind. The scorer is linear in byte statistics of the whole text.
 
-Features: for each text, shares of byte classes and of pairs of neighbouring byte classes, plus a few shape ratios; all
-from whole texts, in numpy. Labels, language, source and id are never features. Only the fit uses a sample, of a fixed,
+Features: for each text, shares of byte classes and of pairs of neighbouring byte classes, plus ratios of shape
+and of repeated words; all from whole texts, in numpy. Labels, language, source and id are never features. Only the fit uses a sample, of a fixed,
 documented size; scoring covers every row.
 """
 
@@ -50,7 +50,8 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 KINDS = 24
-WIDTH = KINDS + KINDS * KINDS + 6
+SHAPES = 9
+WIDTH = KINDS + KINDS * KINDS + SHAPES
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -59,6 +60,8 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros((rows, WIDTH), np.float32)
     kind = _CLASS[data]
     pair = kind[:-1] * KINDS + kind[1:] if len(kind) else kind
+    doc, word, _, _ = bo.word_hashes(data, at)
+    first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=rows))))
     for i in range(rows):
         a, b = at[i], at[i + 1]
         n = b - a
@@ -70,7 +73,12 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             out[i, KINDS : KINDS + KINDS * KINDS] = np.sqrt(np.bincount(pair[a : b - 1], minlength=KINDS * KINDS) / (n - 1))
         words = single[5] + single[6] + single[7] + 1
         lines = single[6] + 1
-        out[i, -6:] = (np.log1p(n) / 12, min(1, n / words / 20), min(1, n / lines / 500), min(1, single[8] / words), min(1, single[10:].sum() / words), np.count_nonzero(single) / KINDS)
+        own = word[first[i] : first[i + 1]]
+        many = max(1, len(own) - 1)
+        # words that repeat the one before, words whose pair was there before, and distinct words
+        again = np.count_nonzero(own[1:] == own[:-1]) / many
+        pairs = 1 - len(np.unique(own[1:] + own[:-1] * bo.U64(3))) / many if len(own) > 1 else 0.0
+        out[i, -SHAPES:] = (np.sqrt(again), pairs, len(np.unique(own)) / max(1, len(own)), np.log1p(n) / 12, min(1, n / words / 20), min(1, n / lines / 500), min(1, single[8] / words), min(1, single[10:].sum() / words), np.count_nonzero(single) / KINDS)
     return out
 
 
@@ -131,7 +139,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on the training fold. Samples are the rows of least id hash, at most the given numbers of each."""
-    spark = docs.sparkSession
+    prepare(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"))
     marks = marks.filter("doc_id is not null and q is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("q").alias("q"))
     n, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("q") == 1).cast("int")), F.lit(0))).first()
