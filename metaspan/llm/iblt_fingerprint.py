@@ -5,8 +5,9 @@ each digest lies in one cell of each of TABLES subtables, and a cell keeps the n
 their check hashes. Sketches of one size subtract cell by cell, which leaves the digests of the symmetric difference.
 Peeling then takes a cell that holds one digest (its number is 1 or -1 and the check hash agrees), notes the digest, and
 removes it from its other cells, until all are empty. If cells stay filled, the sketch was too small for the difference:
-both texts are sketched again with four times the cells. A larger sketch is a row of small ones, chosen by the leading
-bits of the digest, so the work is in proportion to the digests.
+both texts are sketched again larger, at first as large as the numbers in the cells make likely to do, then twice that and
+so on. A larger sketch is a row of small ones, chosen by the leading bits of the digest, so the work is in proportion to
+the digests.
 
 The fingerprint is the base sketch (no leading bits) as text; equal texts have equal ones. likeness is the Jaccard
 similarity |A & B| / |A | B| of the two paragraph sets, whose difference peeling has counted; two empty texts have 1.
@@ -24,8 +25,8 @@ from metaspan.llm.scratch import table
 
 TABLES, WIDTH = 3, 4
 CELLS = TABLES * WIDTH
-#: Leading bits of the retries: sketches of 4, 16, ... times the base; the last leaves a digest alone in its part.
-BITS = list(range(2, 45, 2))
+#: Leading bits of the retries: sketches of 2, 4, 8, ... times the base; the last leaves a digest alone in its part.
+BITS = list(range(1, 45))
 #: Rounds of peeling; a part that needs more counts as failed and is retried larger.
 ROUNDS = 8
 #: Rows of a range on average, quantiles taken, and the ranges up to which their tops are broadcast (16 bytes each).
@@ -47,26 +48,26 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
 
 
 def _lies_in(key: Column, cell: Column) -> Column:
-    """Whether the digest's place in the cell's subtable is the cell."""
-    by = F.floor(cell / F.lit(WIDTH)).cast("int") * 8 + 4
-    return F.call_function("shiftrightunsigned", key, by).bitwiseAND(F.lit(WIDTH - 1)) == (cell % F.lit(WIDTH)).cast("bigint")
+    """Whether the digest's place in the cell's subtable is the cell (whole-number operations only: this is the inner loop)."""
+    by = F.shiftright(cell, 2) * 8 + 4
+    return F.call_function("shiftrightunsigned", key, by).bitwiseAND(F.lit(WIDTH - 1).cast("bigint")) == cell.bitwiseAND(F.lit(WIDTH - 1)).cast("bigint")
 
 
 def sketch(marked: Column) -> Column:
     """CELLS cells of marked digests: the lowest bit 0 adds, 1 subtracts."""
+    zero = F.lit(0).cast("bigint")
 
-    def one(cell: Column) -> Column:
-        mine = F.filter(marked, lambda d: _lies_in(d, cell))
-        start = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    def put(acc: Column, d: Column) -> Column:
+        side = d.bitwiseAND(F.lit(1))
+        key = d - side
+        return _cell(acc["n"] + 1 - 2 * side, acc["key"].bitwiseXOR(key), acc["check"].bitwiseXOR(_check(key)))
 
-        def put(acc: Column, d: Column) -> Column:
-            side = d.bitwiseAND(F.lit(1))
-            key = d - side
-            return _cell(acc["n"] + 1 - 2 * side, acc["key"].bitwiseXOR(key), acc["check"].bitwiseXOR(_check(key)))
+    def one(cell: int) -> Column:
+        at, by = cell % WIDTH, cell // WIDTH * 8 + 4
+        mine = F.filter(marked, lambda d: F.shiftrightunsigned(d, by).bitwiseAND(F.lit(WIDTH - 1).cast("bigint")) == F.lit(at).cast("bigint"))
+        return F.aggregate(mine, _cell(F.lit(0), zero, zero), put)
 
-        return F.aggregate(mine, start, put)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), one)
+    return F.array(*[one(c) for c in range(CELLS)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -98,7 +99,7 @@ def peel(cells: Column) -> Column:
 
 
 def _retry(marked: Column, bits: Column) -> Column:
-    """Peel a larger sketch: parts by the leading bits of ordered, marked digests; null if any part fails."""
+    """Peel a larger sketch: parts by the leading bits of ordered, marked digests (a column); null if any part fails."""
     part = lambda d: F.call_function("shiftright", d, (F.lit(64) - bits).cast("int"))
     places = F.sequence(F.lit(1), F.size(marked))
     heads = F.filter(places, lambda i: (i == 1) | (part(F.element_at(marked, i)) != part(F.element_at(marked, F.greatest(i - 1, F.lit(1))))))
@@ -107,23 +108,37 @@ def _retry(marked: Column, bits: Column) -> Column:
     return F.aggregate(pieces, F.lit(0), lambda acc, p: F.when(acc.isNotNull(), acc + peel(sketch(p))))
 
 
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Size of the symmetric difference of two digest sets: base sketches first, then larger ones until peeling ends."""
-    marked = F.array_sort(F.concat(a, F.transform(b, lambda d: d + 1)))
-    least = F.abs(F.size(a) - F.size(b))  # sketches below this many digests need no try
+def estimate(cells: Column) -> Column:
+    """Size of a difference from its sketch's numbers: with d digests, s of them net, the squares of a subtable's numbers
+    add up to d (1 - 1/WIDTH) + s * s / WIDTH on average."""
+    squares = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]) / TABLES
+    net = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["n"]) / TABLES
+    return F.greatest(F.abs(net), (squares - net * net / WIDTH) / (1 - 1 / WIDTH))
+
+
+def difference(marked: Column, base: Column, size: Column) -> Column:
+    """Size of a symmetric difference: marked are both sets' ordered digests with side marks, base the difference of the
+    two base sketches, size its estimate; all three columns. The base is peeled first, where it can hold so many;
+    larger sketches follow until peeling ends."""
 
     def attempt(acc: Column, bits: Column) -> Column:
-        return F.when(acc.isNotNull() | (F.pow(F.lit(2.0), bits) * CELLS < least), acc).otherwise(_retry(marked, bits))
+        return F.when(acc.isNotNull() | (F.call_function("shiftleft", F.lit(1).cast("bigint"), 2 + bits) < size), acc).otherwise(_retry(marked, bits))
 
-    base = F.when(least <= CELLS, peel(subtract(sketch_a, sketch_b)))
-    return F.aggregate(F.array(*[F.lit(b) for b in BITS]), base, attempt)
+    first = F.when(size <= CELLS, peel(base))
+    return F.aggregate(F.array(*[F.lit(b) for b in BITS]), first, attempt)
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Jaccard similarity of two digest sets through their sketches' difference, 0 to 1."""
+def likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """rows with `name`, the Jaccard similarity of digest sets a and b through their sketches s<a> and s<b>, 0 to 1.
+
+    Each step is a projection of its own: higher-order functions evaluate what they hold again and again, columns not.
+    """
+    marked = F.array_sort(F.concat(a, F.transform(b, lambda d: d + 1)))
+    rows = rows.withColumns({"_marked": marked, "_base": subtract(F.col(f"s{a}"), F.col(f"s{b}"))}).withColumn("_size", estimate(F.col("_base")))
+    rows = rows.withColumn("_diff", difference(F.col("_marked"), F.col("_base"), F.col("_size")))
     both = F.size(a) + F.size(b)
-    d = difference(a, b, sketch_a, sketch_b)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)).cast("double")
+    value = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col("_diff")) / (both + F.col("_diff")))
+    return rows.withColumn(name, value.cast("double")).drop("_marked", "_base", "_size", "_diff")
 
 
 def written_out(cells: Column) -> Column:
@@ -182,10 +197,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(edited).alias("e"), digests(F.col("next_text")).alias("x"))
     rows = rows.select("*", *[sketch(F.col(c)).alias(f"s{c}") for c in "aex"])
-    a, sa = F.col("a"), F.col("sa")
+    rows = likeness(likeness(rows, "a", "e", "near_edited"), "a", "x", "near_next")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", written_out(sa).alias("fingerprint"), written_out(F.col("se")).alias("edited_fingerprint"),
-        likeness(a, F.col("e"), sa, F.col("se")).alias("near_edited"), likeness(a, F.col("x"), sa, F.col("sx")).alias("near_next"), F.size("a").alias("n_paragraphs"),
+        "doc_id", "n_chars", "edited_sha256", written_out(F.col("sa")).alias("fingerprint"), written_out(F.col("se")).alias("edited_fingerprint"),
+        "near_edited", "near_next", F.size("a").alias("n_paragraphs"),
     )
 
 
