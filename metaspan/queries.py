@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaspan import queries_meta, queries_relational, queries_sql
+from metaspan import queries_functions, queries_meta, queries_relational, queries_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (queries_relational, queries_meta, queries_sql):
+for module in (queries_relational, queries_meta, queries_sql, queries_functions):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
