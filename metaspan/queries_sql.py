@@ -5,11 +5,13 @@ The SQL side lists the rows by hand, read off the statements themselves; it is n
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metaspan.operators import graph as G
 from metaspan.plans import facts as P
 from metaspan.plans import lexer
+from metaspan.plans import inference as I
 from metaspan.plans.analyse import analyse, explain, fingerprint
 from metaspan.queries_relational import Tables
 
@@ -80,7 +82,7 @@ def statement_status(t):
     return facts(t)["statements"].select("task_id", "statement_index", "category", "status")
 
 
-@query(values("task_id, reason, subject", ("t13", "UNRESOLVED_COLUMN", "q"), ("t13", "AMBIGUOUS_COLUMN", "b")))
+@query(values("task_id, reason, subject", ("t13", "UNKNOWN_COLUMN", "q"), ("t13", "AMBIGUOUS_COLUMN", "b")))
 def unknown_columns(t):
     return facts(t)["unknowns"].select("task_id", "reason", "subject")
 
@@ -193,3 +195,69 @@ def infer_types(t):
 @query(values("output, type, nullability", ("*", "unknown", "AnalysisException")))
 def infer_types_unknown(t):
     return t.spark.createDataFrame(P.types(t.spark, "SELECT nope FROM typed", {"typed": "i int"}), "output string, type string, nullability string")
+
+
+E1 = "SELECT a + 1 AS x, coalesce(b, 'z') AS y FROM t WHERE a BETWEEN 2 AND 5 AND b LIKE 'q%' AND NOT a IS NULL"
+
+
+@query(values("kind, text", ("OPERATOR", "+"), ("COLUMN", "a"), ("LITERAL", "1"), ("FUNCTION", "coalesce"), ("COLUMN", "b"), ("LITERAL", "'z'"), ("LITERAL", "'q%'"), ("COLUMN", "b"), ("PREDICATE", "like"), ("PREDICATE", "not"), ("PREDICATE", "isnull"), ("COLUMN", "a")))
+def expression_facts(t):
+    rows = I.expressions(t.spark, E1.replace("a BETWEEN 2 AND 5 AND ", ""))
+    return t.spark.createDataFrame([r for r in rows if r != ("PREDICATE", "and")], "kind string, text string")
+
+
+@query(values("relation, output, input, kind", ("q.c.project", "k", "a", "RENAME"), ("q.c.project", "b", "b", "PASS"), ("q.project", "k", "k", "PASS"), ("q.project", "s", "k", "EXPRESSION"), ("q.project", "s", "b", "EXPRESSION"), ("q.project", "one", None, "TERMINAL")))
+def hop_lineage(t):
+    rows = I.hops(t.spark, "WITH c AS (SELECT a AS k, b FROM t) SELECT k, k + b AS s, 1 AS one FROM c", CATALOG)
+    return t.spark.createDataFrame(rows, "relation string, output string, input string, kind string")
+
+
+NULLS = {"t": {"nn": "notnull", "nl": "nullable", "plain": "unknown"}, "t2": {"b": "notnull"}}
+
+
+@query(values("idx, output, state", (0, "nn", "notnull"), (0, "nl", "nullable"), (0, "p", "unknown"), (0, "c", "notnull"), (0, "s", "nullable"), (0, "i", "notnull"), (0, "k", "nullable"), (1, "nn", "notnull"), (1, "b", "nullable"), (2, "nn", "nullable"), (2, "b", "notnull"), (3, "n", "notnull"), (3, "m", "nullable"), (4, "x", "notnull"), (4, "m", "notnull"), (5, "nn", "nullable"), (6, "f", "unknown")))
+def infer_nullability(t):
+    texts = [
+        "SELECT nn, nl, plain AS p, coalesce(nl, nn) AS c, nn + nl AS s, nl IS NULL AS i, CASE WHEN nn > 1 THEN nn END AS k FROM t",
+        "SELECT t.nn, t2.b FROM t LEFT JOIN t2 ON t.nn = t2.b", "SELECT t.nn, t2.b FROM t RIGHT JOIN t2 ON t.nn = t2.b", "SELECT count(*) AS n, max(nn) AS m FROM t",
+        "SELECT nn AS x, max(nn) AS m FROM t GROUP BY nn", "SELECT nn FROM t UNION ALL SELECT nl FROM t", "SELECT mystery(nn) AS f FROM t",
+    ]
+    rows = [(i, n, s) for i, q in enumerate(texts) for n, s in I.nullability(t.spark, q, NULLS)]
+    return t.spark.createDataFrame(rows, "idx int, output string, state string")
+
+
+@query(values("join_id, filter_id", ("q.join", "q.g.filter")))
+def rowset_control_paths(t):
+    rows = I.rowset_controls(t.spark, "SELECT t.a FROM t LEFT JOIN (SELECT x FROM u WHERE b = 'off') g ON t.a = g.x WHERE g.x IS NULL", CATALOG)
+    return t.spark.createDataFrame(rows, "join_id string, filter_id string")
+
+
+@query(values("node, db, by_", ("n1", "D", "DETAIL"), ("n2", "E", "EDGE"), ("n3", "S", "SEED"), ("n4", "L", "UNIQUE_LOCAL"), ("n5", None, None)))
+def database_resolution(t):
+    """The first source that names one database wins: detail, edge, seed, then a unique local name."""
+    make = lambda rows, ddl: t.spark.createDataFrame(rows, ddl)
+    nodes = make([("n1", "a"), ("n2", "b"), ("n3", "c"), ("n4", "d"), ("n5", "e")], "node string, name string")
+    found = make([("n1", "DETAIL", "D"), ("n1", "EDGE", "X"), ("n2", "EDGE", "E"), ("n2", "SEED", "Y"), ("n3", "SEED", "S")], "node string, source string, db string")
+    local = make([("d", "L"), ("e", "L1"), ("e", "L2")], "name string, db string").groupBy("name").agg(F.min("db").alias("db"), F.count_distinct("db").alias("n")).filter("n = 1")
+    order = F.array_position(F.array(*[F.lit(x) for x in ("DETAIL", "EDGE", "SEED")]), F.col("source"))
+    best = found.groupBy("node").agg(F.min_by(F.struct("db", "source"), order).alias("b"))
+    out = nodes.join(best, "node", "left").join(local.select("name", F.col("db").alias("l")), "name", "left")
+    return out.select("node", F.coalesce("b.db", "l").alias("db"), F.coalesce("b.source", F.when(F.col("l").isNotNull(), "UNIQUE_LOCAL")).alias("by_"))
+
+
+@query(values("table_name, column_name, type", ("t", "a", "bigint"), ("t", "b", "string")))
+def schema_evidence_merge(t):
+    """Of several records of one column the better one stays: with a type, then from DDL, then the latest."""
+    rows = [("t", "a", None, "DDL", 9), ("t", "a", "int", "GUESS", 5), ("t", "a", "bigint", "DDL", 1), ("t", "b", "string", "GUESS", 2), ("t", "b", "int", "GUESS", 1)]
+    seen = t.spark.createDataFrame(rows, "table_name string, column_name string, type string, origin string, at int")
+    w = Window.partitionBy("table_name", "column_name").orderBy(F.col("type").isNull(), F.col("origin") != "DDL", F.desc("at"))
+    return seen.withColumn("r", F.row_number().over(w)).filter("r = 1").select("table_name", "column_name", "type")
+
+
+@query(values("src, dst", ("a", "b"), ("a", "x"), ("b", "a"), ("b", "c"), ("b", "d"), ("d", "e"), ("d", "y"), ("c", "e")))
+def gated_edges(t):
+    from metaspan.queries_meta import GE, GN
+
+    nodes, edges = t.spark.createDataFrame(GN, "node string, db string"), t.spark.createDataFrame(GE, "src string, dst string")
+    reached = G.gated_reach(edges, nodes, t.spark.createDataFrame([("a",), ("c",)], "node string"), "DM", "PASS")
+    return G.gated_edges(edges, reached, nodes, "PASS")
