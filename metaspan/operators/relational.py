@@ -80,11 +80,19 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def top_with_ties(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """TOP n WITH TIES. The n-th value is found by a top-k; rows are then compared with it, so ties of any number stay."""
-    keys = [f"_k{i}" for i in range(len(order))]
-    ranked = df.withColumn("_rank", F.rank().over(Window.orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= n).drop("_rank", *keys)
+def top_with_ties(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """TOP n WITH TIES by columns (`-name` descends; nulls last). A distributed top-k finds the n-th row's keys; what ties
+    with it is then read by an equality filter, so ties of any number stay and no task orders the whole input."""
+    names = [o.lstrip("-") for o in order]
+    keys = [F.col(c).desc_nulls_last() if o.startswith("-") else F.col(c).asc_nulls_last() for o, c in zip(order, names)]
+    top = df.orderBy(*keys).limit(n)
+    last = top.select(*names).tail(1)
+    if not last:
+        return df.limit(0)
+    tied = F.lit(True)
+    for c in names:
+        tied = tied & F.col(c).eqNullSafe(F.lit(last[0][c]))
+    return top.filter(~tied).unionByName(df.filter(tied))
 
 
 def top_percent(df: DataFrame, percent: float, *order: str) -> DataFrame:

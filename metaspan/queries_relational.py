@@ -284,7 +284,7 @@ sql("order_offset", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 1
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size >= (SELECT p_size FROM part ORDER BY p_size DESC LIMIT 1 OFFSET 9)")
 def top_with_ties(t):
-    return R.top_with_ties(t.part, 10, F.desc("p_size")).select("p_partkey", "p_size")
+    return R.top_with_ties(t.part, 10, "-p_size").select("p_partkey", "p_size")
 
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) WHERE i <= ceil(n * 0.05)")
