@@ -30,16 +30,21 @@ def words(t: np.ndarray) -> np.ndarray:
     return w
 
 
-def sort_small(w: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """The given suffixes in the order of their first `depth` bytes: eight bytes at a time, ties only."""
+def sort_small(w: np.ndarray, places: np.ndarray, depth: int, deep: np.ndarray | None = None) -> np.ndarray:
+    """The given suffixes in the order of their first `depth` bytes: eight bytes at a time, ties only.
+
+    deep: which of them matter that far; the others stand behind those that share their first eight bytes.
+    """
     if not len(places):
         return places
     end = len(w) - 1
     key = w[places]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable") if deep is None else np.lexsort((~deep, key))
     out, key = places[order], key[order]
     head = np.ones(len(out), bool)
     head[1:] = key[1:] != key[:-1]
+    if deep is not None:
+        head |= ~deep[order]
     for at in range(8, depth, 8):
         tied = ~head
         tied[:-1] |= ~head[1:]
@@ -57,13 +62,23 @@ def sort_small(w: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, depth: int = 200) -> np.ndarray:
-    """All suffixes of the bytes t, ordered by their first `depth` bytes."""
+def suffix_array(t: np.ndarray, depth: int = 200, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All suffixes of the bytes t, ordered by their first `depth` bytes.
+
+    wanted: the places whose order matters; the others are then ordered by their first bytes only, and never stand
+    between wanted ones with equal first `depth` bytes.
+    """
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
     small = small_types(t)
-    s_sorted = sort_small(words(t), np.flatnonzero(small), depth + 8)
+    places, deep = np.flatnonzero(small), None
+    if wanted is not None:
+        # a wanted suffix of type L takes its order from the next suffix of type S
+        after = np.searchsorted(places, np.flatnonzero(wanted))
+        deep = np.zeros(len(places), bool)
+        deep[after[after < len(places)]] = True
+    s_sorted = sort_small(words(t), places, depth + 8, deep)
     cut = np.searchsorted(t[s_sorted], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[n - 1]].append(np.array([n - 1]))

@@ -82,12 +82,13 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.n
     t = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces], np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
-    sa = sx.suffix_array(t, length)
-    lcp = sx.common_prefixes(t, sa, length)
-    label = np.cumsum(lcp < length)
-    piece = np.searchsorted(first, sa, "right") - 1
-    inside = sa + length <= first[piece + 1]
-    label, piece, start = label[inside], piece[inside], (sa - first[piece])[inside]
+    of = np.repeat(np.arange(len(pieces)), size)
+    inside = np.arange(len(t)) + length <= first[of + 1]
+    sa = sx.suffix_array(t, length, inside)
+    sa = sa[inside[sa]]
+    label = np.cumsum(sx.common_prefixes(t, sa, length) < length)
+    piece = of[sa]
+    start = sa - first[piece]
     if not len(label):
         return piece, start, label, label
     return piece, start, label, np.bincount(label)[label]
@@ -157,7 +158,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = docs.select("key", "text").mapInArrow(_anchor_rows(length), "h long, c long, key long, run long")
     # the first shuffle carries 48 bits of h only; a chance collision merely lets a lone row through
-    again = rows.groupBy(F.shiftrightunsigned("h", 16).alias("short")).agg(F.count("*").alias("k")).filter("k > 1").select("short")
+    again = written(rows.groupBy(F.shiftrightunsigned("h", 16).alias("short")).agg(F.count("*").alias("k")).filter("k > 1").select("short"), "shared")
     members = rows.withColumn("short", F.shiftrightunsigned("h", 16)).join(again, "short", "left_semi").drop("short")
     members = written(members, "anchors")
     same = written(members.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "run")).alias("one")), "same")
