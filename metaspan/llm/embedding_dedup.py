@@ -3,8 +3,8 @@
 Vectors are compared only with those of an equal label (and length). Equal vectors are one node with its number of ids. A
 label's nodes are cut into shards of at most CAP by hash; each shard gets a graph, written once. For each two shards of a
 label (and each shard with itself) a task queries either's graph with the other's vectors, verifies what was found by
-cosine in double precision, and audits a sample of its queries against all of the other shard: while recall is below
-RECALL the beam doubles, up to the whole shard, where the search is exact. A task returns a row per node: how many ids it
+cosine in double precision, widens a query's beam by every link verified, and audits a sample of its queries against all
+of the other shard: while recall is below RECALL all beams double, up to the whole shard, where the search is exact. A task returns a row per node: how many ids it
 links to, and the least node of its group in the task; so groups of any size cost a row per node and no list of pairs.
 """
 
@@ -60,6 +60,20 @@ def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     return ids, t["ids"].to_numpy(), x, Graph(x.astype(np.float32), ids, layers)
 
 
+def _grow(graph: Graph, own: np.ndarray, query: np.ndarray, found: np.ndarray, cosine: float) -> None:
+    """Widen one query's beam by every verified link: points next to links are tried in turn until none is new."""
+    wave = np.flatnonzero(found)
+    tried = found.copy()
+    near = graph.links[0]
+    while len(wave):
+        next_ = near[wave].ravel()
+        next_ = np.unique(next_[next_ >= 0])
+        next_ = next_[~tried[next_]]
+        tried[next_] = True
+        wave = next_[own[next_] @ query >= cosine]
+        found[wave] = True
+
+
 def _query(graph: Graph, own: np.ndarray, other: np.ndarray, cosine: float, audited: int) -> np.ndarray:
     """(queries, points) table of verified links from other (queries) to own (the graph's points)."""
     sample = np.linspace(0, len(other) - 1, min(audited, len(other))).astype(np.int64)
@@ -75,10 +89,9 @@ def _query(graph: Graph, own: np.ndarray, other: np.ndarray, cosine: float, audi
             r, c = rows[a : a + (1 << 18)], cols[a : a + (1 << 18)]
             ok = np.einsum("ij,ij->i", other[r], own[c]) >= cosine
             found[r[ok], c[ok]] = True
-        hit = int((found[sample] & truth).sum())
-        # a beam full of links may have more beyond it, audited or not
-        full = beam < len(own) and bool((found.sum(1) >= min(beam, len(own))).any())
-        if (hit >= RECALL * truth.sum() and not full) or beam >= len(own):
+        for q in np.flatnonzero(found.any(1)):
+            _grow(graph, own, other[q], found[q], cosine)
+        if (found[sample] & truth).sum() >= RECALL * truth.sum() or beam >= len(own):
             return found
         beam *= 2
 
