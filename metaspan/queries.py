@@ -13,6 +13,3 @@ ORACLES: dict[str, str] = {}
 for module in (queries_relational, queries_meta, queries_sql, queries_functions):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
-
-queries_relational.sql("seg_revenue", "SELECT c_mktsegment, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment")
-QUERIES["seg_revenue"], ORACLES["seg_revenue"] = queries_relational.QUERIES["seg_revenue"], queries_relational.ORACLES["seg_revenue"]

@@ -58,6 +58,9 @@ def sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
 dec = lambda c: F.col(c).cast("decimal(18,4)")
 total = lambda c: F.sum(dec(c)).cast("double")
 
+# ---- flagship
+sql("seg_revenue", "SELECT c_mktsegment, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment")
+
 # ---- sources
 sql("scan_table", "SELECT * FROM {nation}")
 sql("inline_values", "SELECT a, CAST(b AS DOUBLE) AS b FROM VALUES (1, 2), (7, 77.7) AS v(a, b)", "SELECT a, CAST(b AS DOUBLE) AS b FROM (VALUES (1, 2), (7, 77.7)) AS v(a, b)")
