@@ -102,7 +102,7 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     count = np.bincount(doc, minlength=len(at) - 1)
     first = np.concatenate(([0], np.cumsum(count)))
     gram = np.zeros(len(h), U64)
-    for j in range(width):
+    for j in range(min(width, len(h))):
         gram[: len(h) - j] += h[j:] * powers(2 * width + 2)[2 * j + 1]
     left = first[doc + 1] - np.arange(len(h))
     keep = left >= width
@@ -114,9 +114,8 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return doc[keep], gram[keep]
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingles() without repeats, ordered by (text index, hash)."""
-    doc, h = shingles(data, at, width)
+def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (text index, hash) without repeats, in order."""
     if not len(doc):
         return doc, h
     order = np.lexsort((h, doc))
@@ -147,11 +146,9 @@ def anchors(values: np.ndarray, first: np.ndarray, last: np.ndarray, width: int)
     place = np.arange(n, dtype=U64)
     packed = ((values >> U64(bits)) << U64(bits)) | place
     m = sliding_min(packed, width) if n >= width else packed[:0]
-    ok = np.zeros(len(m) + 1, np.int64)
     long = last - first >= width
     doc_of = np.repeat(np.arange(len(first)), np.where(long, last - first - width + 1, 0))
     starts = np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b - width + 1) for a, b in zip(first[long], last[long])]]) if long.any() else np.zeros(0, np.int64)
-    del ok
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, z, z
