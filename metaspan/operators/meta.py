@@ -49,10 +49,21 @@ def tfidf(terms: DataFrame, doc: str, term: str, max_df: int | None = None) -> D
 
 
 def cosine_pairs(weights: DataFrame, doc: str, term: str, least: float) -> DataFrame:
-    """(a, b, cosine) with a < b through postings. Terms should be rare (max_df): a list's pairs grow with its square."""
-    right = weights.select(F.col(term), F.col(doc).alias("b"), F.col("weight").alias("wb"))
-    left = weights.select(F.col(term), F.col(doc).alias("a"), F.col("weight").alias("wa"))
-    pairs = left.join(right, term).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    """(a, b, cosine) with a < b that share a term and reach `least`; exact for terms of any frequency.
+
+    Weights of a document have length 1. With terms from rare to frequent, what follows a document's prefix is shorter
+    than `least`, so a pair that reaches it shares a term of both prefixes. Only those pairs are made, then all their
+    terms are summed.
+    """
+    df = weights.groupBy(term).agg(F.count("*").alias("_df"))
+    after = Window.partitionBy(doc).orderBy(F.desc("_df"), F.desc(term)).rowsBetween(Window.unboundedPreceding, 0)
+    rest = weights.join(df, term).withColumn("_rest", F.sum(F.col("weight") * F.col("weight")).over(after))
+    prefix = rest.filter(F.col("_rest") >= max(least, 0.0) ** 2 - 1e-9).select(doc, term)
+    left, right = prefix.select(term, F.col(doc).alias("a")), prefix.select(term, F.col(doc).alias("b"))
+    near = left.join(right, term).filter("a < b").select("a", "b").distinct()
+    wa = weights.select(F.col(doc).alias("a"), F.col(term), F.col("weight").alias("wa"))
+    wb = weights.select(F.col(doc).alias("b"), F.col(term), F.col("weight").alias("wb"))
+    pairs = near.join(wa, "a").join(wb, ["b", term]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return pairs.filter(F.col("cosine") >= least)
 
 
@@ -69,14 +80,18 @@ def mutual_top_k(pairs: DataFrame, k: int, score: str = "cosine") -> DataFrame:
     return top.join(back, ["a", "b"]).filter("a < b").select("a", "b", score)
 
 
-def blocked_pairs(tokens: DataFrame, item: str, token: str, max_df: int, k: int) -> DataFrame:
-    """(a, b): items that share a token held by 2..max_df items, each with at most max(4k, 8) successors in id order."""
-    width = max(4 * k, 8)
+def blocked_pairs(tokens: DataFrame, item: str, token: str, max_df: int | None = None, k: int | None = None) -> DataFrame:
+    """(a, b): items that share a token held by 2..max_df items, each with at most max(4k, 8) successors in id order;
+    without max_df any token counts, without k all successors."""
     once = tokens.select(item, token).distinct()
-    rare = once.groupBy(token).agg(F.count("*").alias("df")).filter(F.col("df").between(2, max_df)).select(token)
+    held = once.groupBy(token).agg(F.count("*").alias("df")).filter("df >= 2")
+    rare = (held if max_df is None else held.filter(F.col("df") <= max_df)).select(token)
     rows = once.join(rare, token).withColumn("rn", F.row_number().over(Window.partitionBy(token).orderBy(item)))
     a, b = rows.select(token, F.col(item).alias("a"), F.col("rn").alias("ra")), rows.select(token, F.col(item).alias("b"), F.col("rn").alias("rb"))
-    return a.join(b, token).filter((F.col("rb") > F.col("ra")) & (F.col("rb") - F.col("ra") <= width)).select("a", "b").distinct()
+    met = a.join(b, token).filter(F.col("rb") > F.col("ra"))
+    if k is not None:
+        met = met.filter(F.col("rb") - F.col("ra") <= max(4 * k, 8))
+    return met.select("a", "b").distinct()
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:

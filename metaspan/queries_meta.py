@@ -169,6 +169,57 @@ def weighted_jaccard(t):
     return M.weighted_jaccard(M.tfidf(terms, "d", "w", 12), pairs, "d", "w").withColumn("score", F.round("score", 7))
 
 
+# ---- the same over all tokens and all pairs: the queries above keep the limits of their SQL (tokens of at most 12 holders)
+_TFIDF_ALL = _TFIDF.replace(" HAVING count(*) <= 12", "")
+_COS_ALL, _TOP_ALL = _COS.replace(_TFIDF, _TFIDF_ALL), _TOP.replace(_TFIDF, _TFIDF_ALL)
+
+
+def all_part_pairs(t):
+    return M.cosine_pairs(M.tfidf(part_terms(t), "d", "w"), "d", "w", 0.3).withColumn("cosine", F.round("cosine", 7))
+
+
+@query(f"WITH x AS {_TOK} SELECT DISTINCT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d < b.d")
+def blocked_pairs_all(t):
+    return M.blocked_pairs(part_terms(t), "d", "w")
+
+
+@query(f"WITH {_TFIDF_ALL} SELECT d, w, round(u, 7) AS weight FROM z")
+def tfidf_weights_all(t):
+    return M.tfidf(part_terms(t), "d", "w").withColumn("weight", F.round("weight", 7))
+
+
+@query(f"WITH {_COS_ALL} SELECT a, b, cosine FROM c")
+def cosine_pairs_all(t):
+    return all_part_pairs(t)
+
+
+@query(f"WITH {_TOP_ALL} SELECT a, b, cosine, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 2")
+def primary_and_alternative_all(t):
+    return M.top_neighbours(all_part_pairs(t), 2)
+
+
+@query(f"WITH {_TOP_ALL} SELECT x.a, x.b, x.cosine FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.r <= 3 AND y.r <= 3 AND x.a < x.b")
+def mutual_top_k_all(t):
+    return M.mutual_top_k(all_part_pairs(t), 3)
+
+
+@query(None)
+def connected_groups_all(t):
+    return G.groups(all_part_pairs(t).filter("cosine >= 0.6"))
+
+
+@query(None)
+def complete_link_clusters_all(t):
+    pairs = all_part_pairs(t).join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("block")), "a")
+    return M.complete_link(pairs.withColumnRenamed("cosine", "score"), "block", 0.5)
+
+
+@query(f"WITH {_TFIDF_ALL}, p AS (SELECT DISTINCT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d < b.d), l AS (SELECT p.a, p.b, sum(least(za.u, zb.u)) AS lo FROM p JOIN z za ON za.d = p.a JOIN z zb ON zb.d = p.b AND zb.w = za.w GROUP BY p.a, p.b), s AS (SELECT d, sum(u) AS s FROM z GROUP BY d) SELECT p.a, p.b, round(lo / (sa.s + sb.s - lo), 7) AS score FROM p JOIN l USING (a, b) JOIN s sa ON sa.d = p.a JOIN s sb ON sb.d = p.b")
+def weighted_jaccard_all(t):
+    terms = part_terms(t)
+    return M.weighted_jaccard(M.tfidf(terms, "d", "w"), M.blocked_pairs(terms, "d", "w"), "d", "w").withColumn("score", F.round("score", 7))
+
+
 sql("levenshtein_typo", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) = 1")
 @query("SELECT p_partkey, CASE WHEN p_size > 5 OR p_retailprice > 900 THEN round((coalesce(CASE WHEN p_size > 5 THEN CAST(p_size AS DOUBLE) / 50 END * 0.7::DOUBLE, 0) + coalesce(CASE WHEN p_retailprice > 900 THEN p_retailprice / 2000 END * 0.3::DOUBLE, 0)) / (CASE WHEN p_size > 5 THEN 0.7::DOUBLE ELSE 0 END + CASE WHEN p_retailprice > 900 THEN 0.3::DOUBLE ELSE 0 END), 6) END AS m FROM part")
 def available_mean(t):
