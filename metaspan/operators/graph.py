@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaspan.operators.meta import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, limit: int = 50) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
     """(seed, node, hop): breadth first from each seed(node) along edges(src, dst); the least hop counts, cycles are safe.
 
     Seeds advance together: a hop is one join of the frontier with the edges, and nodes already seen by a seed drop out
-    by an anti-join. Lineage is cut at every hop.
+    by an anti-join. Lineage is cut at every hop. The walk ends when nothing new is met, or after `limit` hops where the
+    caller asks for no more.
     """
     seen = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)))
     wave = seen
-    for hop in range(1, limit + 1):
+    for hop in count(1) if limit is None else range(1, limit + 1):
         step = wave.select("seed", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("seed", F.col("dst").alias("node")).distinct()
         wave = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if wave.isEmpty():
@@ -25,25 +28,25 @@ def reach(edges: DataFrame, seeds: DataFrame, limit: int = 50) -> DataFrame:
     return seen
 
 
-def gated_reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, gate: str, passing: str, limit: int = 50) -> DataFrame:
+def gated_reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, gate: str, passing: str, limit: int | None = None) -> DataFrame:
     """(seed, node, state, hop) over states (node, PRE / GATE).
 
     nodes(node, db): a null db is unresolved. A walk goes on from unresolved nodes only behind the gate; reaching a node
     of the gate database turns the state to GATE; in it only nodes of the `passing` database are expanded further, and
-    all others are ends.
+    all others are ends. The walk ends as that of reach does.
     """
     placed = edges.join(nodes.select(F.col("node").alias("dst"), "db"), "dst", "left").select("src", "dst", "db")
     start = seeds.join(nodes, "node", "left").select(F.col("node").alias("seed"), "node", F.when(F.col("db") == gate, "GATE").otherwise("PRE").alias("state"), "db")
     seen = cut(start.distinct().withColumn("hop", F.lit(0)))
     wave = seen
-    for hop in range(1, limit + 1):
+    for hop in count(1) if limit is None else range(1, limit + 1):
         grows = (F.col("hop") == 0) | ((F.col("state") == "PRE") & F.col("db").isNotNull()) | ((F.col("state") == "GATE") & (F.col("db") == passing))
         step = wave.filter(F.coalesce(grows, F.lit(False))).select("seed", "state", F.col("node").alias("src")).join(placed, "src")
         step = step.select("seed", F.col("dst").alias("node"), F.when((F.col("state") == "GATE") | (F.col("db") == gate), "GATE").otherwise("PRE").alias("state"), "db").distinct()
         wave = cut(step.join(seen.select("seed", "node", "state"), ["seed", "node", "state"], "left_anti").withColumn("hop", F.lit(hop)))
         if wave.isEmpty():
             break
-        seen = seen.unionByName(wave)
+        seen = cut(seen.unionByName(wave)) if hop % 4 == 0 else seen.unionByName(wave)
     return seen.select("seed", "node", "state", "hop")
 
 
@@ -92,7 +95,7 @@ def direct_downstream(io: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.select("seed", "task_id", "dataset", "match", F.when(F.col("dataset").isNull(), "PARTIAL").otherwise("CANDIDATE").alias("status"))
 
 
-def transitive_downstream(io: DataFrame, seeds: DataFrame, limit: int = 20) -> DataFrame:
+def transitive_downstream(io: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
     """(seed, dataset, hop, tasks): datasets downstream of each seed with their least hop and the tasks that give them
     at that hop, sorted; datasets seen before by a seed are not entered again."""
     reads = io.filter("direction = 'READ'").select("task_id", F.lower("dataset").alias("src"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaspan.operators.meta import cut
 from metaspan.plans import analyse as A
 
 SCHEMAS = {
@@ -54,18 +56,17 @@ def validate(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def ancestors(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(statement_id, relation_id, ancestor): closure of relation edges towards the inputs."""
-    step = edges.select("statement_id", F.col("to_relation_id").alias("relation_id"), F.col("from_relation_id").alias("ancestor")).distinct()
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(statement_id, relation_id, ancestor): closure of relation edges towards the inputs, until nothing new is met."""
+    step = cut(edges.select("statement_id", F.col("to_relation_id").alias("relation_id"), F.col("from_relation_id").alias("ancestor")).distinct())
     found, wave = step, step
     up = step.select("statement_id", F.col("relation_id").alias("ancestor"), F.col("ancestor").alias("next"))
-    for _ in range(limit):
+    for hop in count(1):
         wave = wave.join(up, ["statement_id", "ancestor"]).select("statement_id", "relation_id", F.col("next").alias("ancestor")).distinct()
-        wave = wave.join(found, ["statement_id", "relation_id", "ancestor"], "left_anti").persist()
+        wave = cut(wave.join(found, ["statement_id", "relation_id", "ancestor"], "left_anti"))
         if wave.isEmpty():
-            break
-        found = found.unionByName(wave)
-    return found
+            return found
+        found = cut(found.unionByName(wave)) if hop % 4 == 0 else found.unionByName(wave)
 
 
 def types(spark: SparkSession, sql: str, tables: dict[str, str]) -> list[tuple[str, str, str]]:

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from metaspan.operators import graph as G
 from metaspan.operators import meta as M
+from metaspan.plans import facts as P
 from metaspan.queries import ORACLES, QUERIES
 
 LARGE = "/root/testdata/sf0.1"
@@ -50,3 +52,21 @@ def test_similarity_at_larger_scale(spark, large, name):
 @pytest.mark.parametrize("name", ["connected_groups_all", "complete_link_clusters_all"])
 def test_groups_at_larger_scale(spark, name):
     assert QUERIES[name](spark, LARGE).count() > 0
+
+
+def test_closures_follow_long_chains(spark):
+    n = 64
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "src string, dst string")
+    seed = spark.createDataFrame([("n000",)], "node string")
+    assert {(r.node, r.hop) for r in G.reach(chain, seed).collect()} == {(f"n{i:03}", i) for i in range(n + 1)}
+    nodes = spark.createDataFrame([(f"n{i:03}", "STG") for i in range(n + 1)], "node string, db string")
+    assert {(r.node, r.hop) for r in G.gated_reach(chain, nodes, seed, "DM", "PASS").collect()} == {(f"n{i:03}", i) for i in range(n + 1)}
+
+
+def test_downstream_and_ancestors_follow_long_chains(spark):
+    n = 64
+    io = [(f"t{i}", way, f"d{i + k}") for i in range(n) for way, k in (("READ", 0), ("WRITE", 1))]
+    out = G.transitive_downstream(spark.createDataFrame(io, "task_id string, direction string, dataset string"), spark.createDataFrame([("d0",)], "dataset string"))
+    assert {(r.dataset, r.hop, *r.tasks) for r in out.collect()} == {(f"d{i + 1}", i + 1, f"t{i}") for i in range(n)}
+    edges = spark.createDataFrame([("s", i, i + 1) for i in range(n)], "statement_id string, from_relation_id int, to_relation_id int")
+    assert P.ancestors(edges).count() == n * (n + 1) // 2
