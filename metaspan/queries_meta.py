@@ -327,7 +327,7 @@ sql("families_rlike", "SELECT CASE WHEN p_type RLIKE 'A' THEN 'A' WHEN p_type RL
 
 @query(None)
 def normalised_text(t):
-    return t.documents.select("doc_id", M.normalised_text(F.substring_index("text", "\n", 1)).alias("first_line"))
+    return t.documents.select("doc_id", M.normalised_text(F.col("text")).alias("normalised"))
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

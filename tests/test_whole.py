@@ -2,6 +2,8 @@
 
 import math
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -70,3 +72,19 @@ def test_downstream_and_ancestors_follow_long_chains(spark):
     assert {(r.dataset, r.hop, *r.tasks) for r in out.collect()} == {(f"d{i + 1}", i + 1, f"t{i}") for i in range(n)}
     edges = spark.createDataFrame([("s", i, i + 1) for i in range(n)], "statement_id string, from_relation_id int, to_relation_id int")
     assert P.ancestors(edges).count() == n * (n + 1) // 2
+
+
+def test_normalised_text_is_that_of_whole_documents(spark, sf):
+    def plain(s):
+        s = unicodedata.normalize("NFKC", s)
+        kind = [unicodedata.category(c) for c in s] + ["", ""]
+        out = ""
+        for i, c in enumerate(s):
+            out += c
+            if kind[i + 1] == "Lu" and (kind[i] in ("Ll", "Nd") or kind[i] == "Lu" and kind[i + 2] == "Ll"):
+                out += " "
+        return re.sub(r"[ \t\n\r\f\v_\-./]+", " ", out).strip(" ").lower()
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.normalised for r in QUERIES["normalised_text"](spark, sf).collect()}
+    assert any("\n" in x for x in texts.values()) and got == {d: plain(x) for d, x in texts.items()}
