@@ -299,6 +299,7 @@ def pack_within_budget(t):
 sql("same_name_different_comment", "SELECT p_name, count(DISTINCT p_brand) AS brands FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
 sql("review_batches", "SELECT p_partkey, p_brand, CAST(ceil(rn / 20.0) AS BIGINT) AS batch FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM {part})")
 sql("import_validation", "SELECT key, CASE WHEN n > 1 THEN 'DUPLICATE' WHEN c IS NULL THEN 'UNKNOWN_ID' ELSE 'OK' END AS status FROM (SELECT o_custkey + CASE WHEN o_custkey % 50 = 0 THEN 1000000 ELSE 0 END AS key, count(*) AS n FROM {orders} WHERE o_orderkey % 40 = 0 GROUP BY 1) i LEFT JOIN (SELECT c_custkey AS c FROM {customer}) ON key = c")
+sql("import_validation_all", "SELECT key, CASE WHEN n > 1 THEN 'DUPLICATE' WHEN c IS NULL THEN 'UNKNOWN_ID' ELSE 'OK' END AS status FROM (SELECT o_custkey + CASE WHEN o_custkey % 50 = 0 THEN 1000000 ELSE 0 END AS key, count(*) AS n FROM {orders} GROUP BY 1) i LEFT JOIN (SELECT c_custkey AS c FROM {customer}) ON key = c")
 sql("comment_consensus", "SELECT c_nationkey, min(c_mktsegment) AS agreed FROM {customer} WHERE c_acctbal > 9800 GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) = 1")
 sql("facet_conflict", "SELECT o_custkey, chosen, kinds > 1 AS conflict FROM (SELECT o_custkey, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS chosen, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS rn, k.kinds FROM {orders} JOIN (SELECT o_custkey AS ck, count(DISTINCT o_orderstatus) AS kinds FROM {orders} GROUP BY 1) k ON k.ck = o_custkey) WHERE rn = 1")
 sql("concept_support", "SELECT p_brand, count(*) AS fields, count(DISTINCT p_type) AS objects, count(DISTINCT p_size) AS facets, CASE WHEN count(*) >= 10 AND count(DISTINCT p_type) >= 2 THEN 'SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM {part} GROUP BY p_brand")
@@ -341,7 +342,10 @@ _EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst
 
 
 def graph_edges(t):
-    li = t.lineitem.filter("l_orderkey % 20 = 0")
+    return edges_of(t.lineitem.filter("l_orderkey % 20 = 0"))
+
+
+def edges_of(li):
     pair = lambda a, b: li.select(a.alias("src"), b.alias("dst"))
     s, p, o = (F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("s", "l_suppkey"), ("p", "l_partkey"), ("o", "l_orderkey")))
     return pair(s, p).union(pair(p, o)).union(pair(o, F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")))).distinct()
@@ -358,6 +362,20 @@ def degrees(t):
     return G.degree(graph_edges(t))
 
 
+# the same over the edges of all orders, and as far as they lead: the two above keep the limits of their SQL
+_EDGES_ALL = _EDGES.replace(" WHERE l_orderkey % 20 = 0", "")
+
+
+@query(None)
+def reach_hops_all(t):
+    return G.reach(edges_of(t.lineitem), t.spark.createDataFrame([("s1",), ("s2",)], "node string"))
+
+
+@query(f"WITH {_EDGES_ALL} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
+def degrees_all(t):
+    return G.degree(edges_of(t.lineitem))
+
+
 GN = [("a", "ODS"), ("b", "STG"), ("x", None), ("c", "DM"), ("d", "PASS"), ("e", "DM"), ("y", None), ("f", "STG"), ("z", "STG")]
 GE = [("a", "b"), ("a", "x"), ("x", "z"), ("b", "c"), ("c", "e"), ("b", "d"), ("d", "e"), ("d", "y"), ("b", "a"), ("e", "f")]
 

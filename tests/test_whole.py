@@ -88,3 +88,26 @@ def test_normalised_text_is_that_of_whole_documents(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.normalised for r in QUERIES["normalised_text"](spark, sf).collect()}
     assert any("\n" in x for x in texts.values()) and got == {d: plain(x) for d, x in texts.items()}
+
+
+def test_reach_over_all_orders(spark, sf):
+    out = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_orderkey").collect():
+        for a, b in ((f"s{r.l_suppkey}", f"p{r.l_partkey}"), (f"p{r.l_partkey}", f"o{r.l_orderkey}"), (f"o{r.l_orderkey}", f"s{r.l_suppkey % 7}")):
+            out.setdefault(a, set()).add(b)
+    want = {}
+    for seed in ("s1", "s2"):
+        want[seed, seed], wave = 0, [seed]
+        while wave:
+            step = {y for x in wave for y in out.get(x, ()) if (seed, y) not in want}
+            want |= {(seed, y): want[seed, wave[0]] + 1 for y in step}
+            wave = list(step)
+    assert {(r.seed, r.node): r.hop for r in QUERIES["reach_hops_all"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("name, value", [("degrees", "n_in + n_out"), ("import_validation", "key")])
+def test_all_rows_count(spark, large, name, value):
+    rows = lambda n: QUERIES[n](spark, LARGE).selectExpr("count(*)", f"sum({value})").first()
+    whole = rows(f"{name}_all")
+    assert tuple(whole) == large.execute(f"select count(*), sum({value}) from ({ORACLES[name + '_all']})").fetchone()
+    assert whole[0] > rows(name)[0]
