@@ -8,6 +8,9 @@ import unicodedata
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from metaspan.llm import url_filter
 from metaspan.operators import graph as G
 from metaspan.operators import meta as M
 from metaspan.plans import facts as P
@@ -111,3 +114,20 @@ def test_all_rows_count(spark, large, name, value):
     whole = rows(f"{name}_all")
     assert tuple(whole) == large.execute(f"select count(*), sum({value}) from ({ORACLES[name + '_all']})").fetchone()
     assert whole[0] > rows(name)[0]
+
+
+def test_host_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+
+    def verdicts(copies):
+        # bad is blocked; u links to it; v links to good, which is allowed, and to bad; w links to nobody
+        one = [("bad{}.x", "/no/1", ""), ("good{}.x", "/yes/1", link("v{}.x")), ("u{}.x", "/a", link("bad{}.x")), ("v{}.x", "/a", link("good{}.x", "bad{}.x")), ("w{}.x", "/a", "")]
+        rows = [(i * 5 + k, f"http://{h.format(i)}{path}", html.replace("{}", str(i))) for i in range(copies) for k, (h, path, html) in enumerate(one)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        rules = url_filter.rules_frame(spark, [("block", "x", "/no/"), ("allow", "x", "/yes/")])
+        out = url_filter.judge_urls(pages, rules).groupBy(F.expr("page_id % 5").alias("k"), "verdict").count()
+        return {(r.k, r.verdict): r["count"] / copies for r in out.collect()}
+
+    small = verdicts(1)
+    assert small[2, "block"] == 1 and small[4, "allow"] == 1
+    assert verdicts(10_000) == small
