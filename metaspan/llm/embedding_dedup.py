@@ -3,8 +3,10 @@
 Vectors are compared only with those of an equal label (and length). Equal vectors are one node with its number of ids. A
 label's nodes are cut into shards of at most CAP by hash; each shard gets a graph, written once. For each two shards of a
 label (and each shard with itself) a task queries either's graph with the other's vectors, verifies what was found by
-cosine in double precision, widens a query's beam by every link verified, and audits a sample of its queries against all
-of the other shard: while recall is below RECALL all beams double, up to the whole shard, where the search is exact. A task returns a row per node: how many ids it
+cosine in double precision, widens a query's beam by every link verified, and audits queries against all of the other
+shard, a vector's match with itself left out: as many as it takes to see LINKS true links. While recall on them is below
+RECALL all beams double; if it still is when a beam is as wide as the shard, or if there are too few links to audit, all
+of the two shards is compared by blocks. A task returns a row per node: how many ids it
 links to, and the least node of its group in the task; so groups of any size cost a row per node and no list of pairs.
 """
 
@@ -23,6 +25,8 @@ COSINE = 0.93
 #: Nodes of a shard; a task holds two.
 CAP = 8192
 BEAM, RECALL, AUDITED = 32, 0.98, 256
+#: True links that an audit must hold to tell recall.
+LINKS = 256
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -74,10 +78,26 @@ def _grow(graph: Graph, own: np.ndarray, query: np.ndarray, found: np.ndarray, c
         found[wave] = True
 
 
-def _query(graph: Graph, own: np.ndarray, other: np.ndarray, cosine: float, audited: int) -> np.ndarray:
+def _true_links(own: np.ndarray, other: np.ndarray, rows: np.ndarray, cosine: float, same: bool) -> np.ndarray:
+    """(rows, points) table of all links of some queries; `same` where queries and points are one list."""
+    found = other[rows] @ own.T >= cosine
+    if same:
+        found[np.arange(len(rows)), rows] = False
+    return found
+
+
+def _query(graph: Graph, own: np.ndarray, other: np.ndarray, cosine: float, audited: int, same: bool = False) -> np.ndarray:
     """(queries, points) table of verified links from other (queries) to own (the graph's points)."""
-    sample = np.linspace(0, len(other) - 1, min(audited, len(other))).astype(np.int64)
-    truth = other[sample] @ own.T >= cosine
+    order, step = np.random.default_rng(0).permutation(len(other)), max(1, audited)
+    parts, links, at = [], 0, 0
+    while at < len(other) and links < LINKS:
+        parts.append(_true_links(own, other, order[at : at + step], cosine, same))
+        links, at = links + int(parts[-1].sum()), at + step
+    truth, sample = np.concatenate(parts), order[:at]
+    if at >= len(other):  # the audit has compared all
+        found = np.empty_like(truth)
+        found[order] = truth
+        return found
     beam = BEAM
     while True:
         ids, _ = graph.search(other.astype(np.float32), beam)
@@ -91,7 +111,11 @@ def _query(graph: Graph, own: np.ndarray, other: np.ndarray, cosine: float, audi
             found[r[ok], c[ok]] = True
         for q in np.flatnonzero(found.any(1)):
             _grow(graph, own, other[q], found[q], cosine)
-        if (found[sample] & truth).sum() >= RECALL * truth.sum() or beam >= len(own):
+        if (found[sample] & truth).sum() >= RECALL * links:
+            return found
+        if beam >= len(own):  # points that no link leads to
+            for a in range(0, len(other), 512):
+                found[a : a + 512] = _true_links(own, other, np.arange(a, min(a + 512, len(other))), cosine, same)
             return found
         beam *= 2
 
@@ -116,7 +140,7 @@ def _link_task(cosine: float, audited: int):
         shard = t["shard"].to_numpy()
         a_ids, a_n, ax, ag = _load(t.filter(pa.array(shard == lo)))
         if lo == hi:
-            links = _query(ag, ax, ax, cosine, audited)
+            links = _query(ag, ax, ax, cosine, audited, True)
             np.fill_diagonal(links, False)
             links |= links.T
             ids, count = a_ids, links @ a_n

@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import duckdb
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from metaspan.llm import embedding_dedup as E
 from metaspan.llm import url_filter
 from metaspan.operators import graph as G
 from metaspan.operators import meta as M
@@ -131,3 +133,36 @@ def test_host_verdicts_do_not_depend_on_the_size_of_the_table(spark):
     small = verdicts(1)
     assert small[2, "block"] == 1 and small[4, "allow"] == 1
     assert verdicts(10_000) == small
+
+
+class Blind:
+    """A graph whose search finds each point itself and nothing else."""
+
+    def __init__(self, own):
+        self.own, self.links = own, [np.full((len(own), 4), -1, np.int32)]
+
+    def search(self, queries, ef):
+        return np.argmax(queries @ self.own.T.astype(np.float32), axis=1)[:, None], None
+
+
+@pytest.mark.parametrize("copies", [2, 20])
+def test_links_that_a_graph_misses_are_found(copies):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(800 // copies, 48)), copies, 0) + rng.normal(size=(800, 48)) * 0.05
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    got = E._query(Blind(x), x, x, 0.93, 256, True)
+    np.fill_diagonal(got, False)
+    assert want.sum() and (got == want).all()
+
+
+def test_links_over_several_shards(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(300, 32)), 3, 0) + rng.normal(size=(900, 32)) * 0.12
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = unit @ unit.T >= 0.93
+    np.fill_diagonal(want, False)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cap=200).collect()}
+    assert sum(got.values()) >= 0.98 * want.sum() > 0 and all(got[i] <= want[i].sum() for i in got)
