@@ -1,6 +1,7 @@
 """Licence scans by sentence rules.
 
-Sentences of a text are normalised and looked up among known licence sentences; the sequence of identifiers found, in
+Sentences of a text, joined over wrapped lines, are normalised and looked up among known licence sentences; some may run
+on as the licence's own text does (VARIANTS), and headers that name their program are known by patterns (NOTICES). The sequence of identifiers found, in
 order of place, is matched against ordered rules: a rule holds where its identifiers follow one another, other known
 sentences and ordinary text in between allowed. Every rule that holds is reported, and `license` names the first by the
 rules' own order.
@@ -56,14 +57,48 @@ RULES = [
 ]
 
 
+#: What may follow a known sentence in the licence's own text, after normalisation (a pattern).
+VARIANTS = {
+    "apache-2": " the license(?: you may not use .*)?",
+    "mit-grant": " and associated documentation files .*",
+    "mit-warranty": " express or implied .*",
+    "bsd-redistribution": " provided that the following conditions are met(?: .*)?",
+}
+_GPL = "(?:.{1,80} )?is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+#: Sentences of licence headers that name their program: identifier -> pattern of the whole sentence.
+NOTICES = {
+    "gpl-3-notice": _GPL + "either version 3 of the license or at your option any later version",
+    "gpl-2-notice": _GPL + "either version 2 of the license or at your option any later version",
+}
+NOTICE_RULES = [("GPL-3.0-or-later", ["gpl-3-notice"]), ("GPL-2.0-or-later", ["gpl-2-notice"])]
+#: Their place among the rules: before the other GPL rules.
+_AT = [name for name, _ in RULES].index("GPL-3.0-or-later")
+
 #: Sentences end at line breaks, and at . ! or ? before white space.
 BREAK = r"[\n\r]+|(?<=[.!?])\s+"
+#: Wrapped sentences end at blank lines (comment marks aside), and at . ! or ? before white space.
+WRAPPED_BREAK = r"(?:\r?\n[ \t#*/;-]*){2,}|(?<=[.!?])\s+"
+#: An address on a line of its own belongs to the sentence before it.
+ADDRESS = r"(?i)(?<=\bat)[\s#*/;-]+(?=https?://)"
+
+
+def normalised(sentence: Column) -> Column:
+    """Lower case, runs of other than letters, digits and dots as one blank; a final dot goes with the punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "), r"\.+(?= |$)", ""))
+
+
+def identifiers(text: Column, look: Column, patterns: dict[str, str]) -> Column:
+    """The known sentences of a text in order: of each sentence joined over its lines, then of its lines by themselves.
+
+    A joined sentence counts when it is a known one or fits a pattern; it is not counted again where a line has it."""
 
+    def of(raw: Column) -> Column:
+        lines = F.filter(F.transform(F.split(raw, BREAK), lambda s: look[normalised(s)]), lambda i: i.isNotNull())
+        whole = normalised(raw)
+        named = F.coalesce(look[whole], *[F.when(whole.rlike(f"^(?:{p})$"), F.lit(i)) for i, p in patterns.items()])
+        return F.when(named.isNull() | F.array_contains(lines, F.coalesce(named, F.lit(""))), lines).otherwise(F.concat(F.array(named), lines))
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text in order; a final dot goes with the punctuation."""
-    raw = F.split(text, BREAK)
-    return F.transform(raw, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.]+", " "), r"\.+(?= |$)", "")))
+    return F.flatten(F.transform(F.split(F.regexp_replace(text, ADDRESS, " "), WRAPPED_BREAK), of))
 
 
 def _in_order(seq: list[str]) -> str:
@@ -77,15 +112,17 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     Texts that are null, empty or without known sentences have n_known 0, empty arrays and a null license. Repeated
     rows are scanned alike; other columns are ignored.
     """
+    notices = NOTICES if known is None else {}
     known = SENTENCES if known is None else known
-    rules = RULES if rules is None else rules
+    rules = RULES[:_AT] + NOTICE_RULES + RULES[_AT:] if rules is None else rules
+    patterns = {i: f"\\Q{known[i]}\\E{p}" for i, p in VARIANTS.items() if i in known and known[i] == SENTENCES[i]} | notices
     if len(known) > MAX_KNOWN or len(rules) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known sentences or rules")
     look = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     # the first two words of each known sentence make a cheap test: most texts never get split
-    probe = "(?i)" + "|".join(sorted({s.split(" ")[0] + "[^a-z0-9.]+" + s.split(" ")[1] for s in known.values()}))
+    probe = "(?i)" + "|".join(sorted({s.split(" ")[0] + "[^a-z0-9.]+" + s.split(" ")[1] for s in [*known.values(), *(["is free"] if notices else [])]}))
     text = F.coalesce("text", F.lit(""))
-    found = F.when(text.rlike(probe), F.filter(F.transform(sentences(text), lambda s: look[s]), lambda i: i.isNotNull()))
+    found = F.when(text.rlike(probe), identifiers(text, look, patterns))
     ids = F.coalesce(found, F.array().cast("array<string>"))
     out = docs.select("doc_id", ids.alias("sentence_ids"))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))

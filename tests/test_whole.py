@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaspan.llm import embedding_dedup as E
-from metaspan.llm import url_filter
+from metaspan.llm import license_scan, url_filter
 from metaspan.operators import graph as G
 from metaspan.operators import meta as M
 from metaspan.plans import facts as P
@@ -166,3 +166,43 @@ def test_links_over_several_shards(spark):
     rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
     got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cap=200).collect()}
     assert sum(got.values()) >= 0.98 * want.sum() > 0 and all(got[i] <= want[i].sum() for i in got)
+
+
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS.
+ */"""
+MIT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+
+
+def test_wrapped_licence_headers(spark):
+    texts = [APACHE, MIT, BSD, GPL.format(3), GPL.format(2), "This is not\nlicensed under the MIT license\nat all", "not licensed\nunder the MIT license at all"]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got[0].licenses == ["Apache-2.0 with notice", "Apache-2.0"] and got[1].sentence_ids == ["mit-grant", "mit-warranty"]
+    assert [got[i].license for i in range(5)] == ["Apache-2.0 with notice", "MIT", "BSD", "GPL-3.0-or-later", "GPL-2.0-or-later"]
+    assert got[5].sentence_ids == ["mit-licensed"] and got[6].license is None  # a line by itself counts, as in the SQL
+    assert license_scan.scan(spark.createDataFrame([(1, None)], "doc_id int, text string")).first().n_known == 0
