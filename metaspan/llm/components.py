@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaspan.llm.scratch import written
+from metaspan.llm.scratch import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
     mark = None
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "edges")
+        before, now = now, written(_star(_star(now, True), False), "edges")
+        release(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

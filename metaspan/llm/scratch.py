@@ -34,24 +34,45 @@ def prepare(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a folder of this machine serves a session
+    that runs on this machine alone; a cluster without a shared folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "metaspan-scratch")
     return found.rstrip("/")
 
 
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and a lost executor costs nothing.
 
-    The files go when the driver's JVM ends.
+    The files go when release() is told that nothing reads them any more, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/metaspan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop, fs = _place(spark, path)
+    fs.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (out, path)
+    return out
+
+
+def _place(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in frames:
+        if df is not None and (kept := _PLACES.pop(id(df), None)):
+            hadoop, fs = _place(df.sparkSession, kept[1])
+            fs.delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
