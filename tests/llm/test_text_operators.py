@@ -130,6 +130,43 @@ def test_jaccard_rest_round(spark, monkeypatch):
     assert got == groups_by_hand(frame.collect(), 4, 70)
 
 
+def test_jaccard_of_unlike_texts_under_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    rows = [(1, a), (1, b), (5, a + " word"), (6, b + " word"), (7, "other words " * 9), (7, b + " last"), (8, "c " + a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard_join.jaccard_components(frame, 4, 85).collect())
+    assert got == groups_by_hand(frame.collect(), 4, 85) and {g[2] for g in got} == {"1"}
+
+
+def test_jaccard_order_is_rare_first(spark, monkeypatch):
+    """Frequent shingles come last even where shingles are many times the counters."""
+    monkeypatch.setattr(jaccard_join, "MIN_BITS", 12)
+    monkeypatch.setattr(jaccard_join, "MAX_BITS", 12)
+    rng = np.random.default_rng(3)
+    texts = [(" ".join(f"w{x}" for x in rng.integers(0, 10**9, 100)) + (" the very common line" if i % 2 else ""),) for i in range(1500)]
+    place = jaccard_join.frequency_classes(spark.createDataFrame(texts, "text string"), 4)
+    _, h = jaccard_join.bo.shingles(*jaccard_join.bo.text_buffer(jaccard_join.pa.array([texts[1][0]])), 4)
+    first, second = jaccard_join._counters(h, 12)
+    classes = np.minimum(place[0][first], place[1][second])
+    assert classes[-1] > classes[:-1].max()
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_jaccard_long_lists_by_size(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "STARS", ())
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(int(rng.integers(8, 60)))]
+        if i % 3 == 0:
+            words[int(rng.integers(0, len(words)))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard_join.jaccard_components(frame, 3, 80).collect())
+    assert got == groups_by_hand(frame.collect(), 3, 80)
+
+
 def test_fingerprints(small, odd, none):
     pieces = lambda t: {p for p in t.split("\n") if p}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
