@@ -234,21 +234,69 @@ def test_nnpu_separates_with_few_positives():
     assert (model.score(good) >= 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.9
 
 
+def chained(points, gap, max_gap, slack):
+    """The best score that ends in each run, by trying all predecessors."""
+    best: dict = {}
+    for x, y, n in points:
+        before = [0.0]
+        for (a, b, m), v in best.items():
+            dx, dy = x - (a + m - slack), y - (b + m - slack)
+            if 0 <= dx <= max_gap + slack and 0 <= dy <= max_gap + slack:
+                before.append(v - gap * (dx + dy) / 2)
+        best[x, y, n] = n + max(before)
+    return best
+
+
 def test_chain_against_all_paths():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        points = sorted({(int(x), int(y)) for x, y in rng.integers(0, 40, (12, 2))})
-        best: dict = {}
-        for x, y in points:  # dynamic programme over all pairs
-            best[x, y] = max([6.0, *(best[p] + 6 - 0.5 * (x - p[0] + y - p[1] - 12) / 2 for p in best if p[0] < x and p[1] < y)])
-        paths = collinear.chain(points)
-        assert sorted(p for path in paths for p in path) == points
-        top = paths[0]
-        value = 6.0
-        for p, q in zip(top, top[1:]):
-            assert p[0] < q[0] and p[1] < q[1]
-            value += 6 - 0.5 * (q[0] - p[0] + q[1] - p[1] - 12) / 2
-        assert value == pytest.approx(max(best.values()))
+    for width, gap in ((40, 0.5), (400, 0.15), (900, 0.02), (300, 0.0)):
+        for _ in range(40):
+            xy = sorted({(int(x), int(y)) for x, y in rng.integers(0, width, (25, 2))} | {(int(x), int(x) + int(k)) for x, k in rng.integers(0, (width, 9), (25, 2))})
+            points = sorted((x, y, int(n)) for (x, y), n in zip(xy, rng.integers(6, 20, len(xy))))
+            best = chained(points, gap, 40, collinear.SEED - 1)
+            paths = collinear.chain(points, gap)
+            assert sorted(p for path in paths for p in path) == points
+            value = float(paths[0][0][2])
+            for p, q in zip(paths[0], paths[0][1:]):
+                slack = collinear.SEED - 1
+                dx, dy = q[0] - (p[0] + p[2] - slack), q[1] - (p[1] + p[2] - slack)
+                assert 0 <= dx <= 40 + slack and 0 <= dy <= 40 + slack
+                value += q[2] - gap * (dx + dy) / 2
+            assert value == pytest.approx(max(best.values()))
+    # a long chain far back does not keep nearer runs from chaining
+    far, near = [(6 * i, 6 * i, 6) for i in range(30)], [(236 + 6 * i + i, 236 + 6 * i, 6) for i in range(3)]
+    assert [len(p) for p in collinear.chain(far + near)] == [30, 3]
+
+
+def test_fuzzy_recall_and_shared_ids(spark):
+    """Planted passages with random changes, against the alignment of every planted pair."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 10**9, n)]
+    rows, planted = [], {}
+    for k in range(240):
+        size, identity = int(rng.choice([40, 60, 120])), float(rng.choice([0.8, 0.85, 0.9, 0.95]))
+        passage = fresh(size)
+        changed = list(passage)
+        for p in rng.choice(size, int(round(size * (1 - identity))), replace=False):
+            changed[p] = f"c{k}x{p}"
+        before = fresh(30)
+        rows += [(2 * k, " ".join(fresh(20) + passage + fresh(30))), (2 * k + 1, " ".join(before + changed + fresh(10)))]
+        planted[2 * k + 1] = (identity, size)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = {r.doc_id: r for r in collinear.covered(collinear.fuzzy_passages(frame, collinear.PIECE)).collect()}
+    assert set(covered) <= set(planted) and all(covered[d].holders == [d - 1] for d in covered)
+    for least, identity in ((0.8, 0.8), (0.9, 0.85), (0.95, 0.9), (0.97, 0.95)):
+        some = [d for d, (i, _) in planted.items() if i == identity]
+        assert sum(d in covered for d in some) >= least * len(some), identity
+    assert sum(d in covered for d in planted) >= 0.9 * len(planted)
+    # two texts under one id are both searched, and both can hold
+    a, b = fresh(60), fresh(60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, " ".join(a[:50])), (3, " ".join(b[5:])), (4, " ".join(a[:40] + fresh(40) + b[:40]))]
+    got = {(r.doc_id, r.holder) for r in collinear.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 1), (3, 1), (4, 1)}
+    # exact passages on either side of 40 other words both count
+    gap = spark.createDataFrame([(1, " ".join(a + fresh(40) + b)), (2, " ".join(a + fresh(40) + b))], "doc_id long, text string")
+    assert sorted((r.start_word, r.end_word) for r in collinear.fuzzy_passages(gap).collect()) == [(0, 60), (100, 160)]
 
 
 def test_fuzzy_passages(spark, odd, none):
@@ -287,3 +335,5 @@ def test_license_scan(spark, odd, none):
     assert got[3].licenses == ["Apache-2.0"] and got[3].n_known == 2
     assert got[4].license is None and got[5].sentence_ids == []
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
+    own = license_scan.scan(spark.createDataFrame([(1, "Proprietary.\nAsk first."), (2, "ask first")], "doc_id long, text string"), {"own": "proprietary", "ask": "ask first"}, [("Own", ["own", "ask"])])
+    assert {r.doc_id: (r.sentence_ids, r.license) for r in own.collect()} == {1: (["own", "ask"], "Own"), 2: (["ask"], None)}
