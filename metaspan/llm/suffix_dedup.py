@@ -3,13 +3,16 @@
 Suffixes of the whole corpus are never brought together. Each window of LENGTH bytes has one anchor, its least k-gram;
 equal windows have equal anchors at equal offsets, so windows can only meet within one anchor's group:
 1.  A pass emits an anchor row for each run of windows with one anchor: digest h of the k-gram, digest c of all the
-    run's bytes, text key and place. Rows whose h is lone are done.
-2.  Runs with the same (h, c) are repeats as a whole. This settles the inside of copied passages, whatever their number.
-3.  Where an h has several c, one holder of each is fetched (ends of passages, mostly), and suffix arrays are built over
-    those bytes: two-stage sorting, then adjacent common prefixes; windows whose neighbours share LENGTH bytes repeat.
-    Groups beyond GROUP holders are split over tasks; what then is lone in its part meets the others by window digest.
+    run's bytes, text key and place. Rows whose h is lone are done. The rest are counted by (h, c).
+2.  Of every (h, c) the bytes of one holder are fetched, or of two where it has several, and suffix arrays are built over
+    all that share h: two-stage sorting, then adjacent common prefixes; windows whose neighbours share LENGTH bytes
+    repeat. Groups beyond GROUP holders are split over tasks; what then is lone in its part meets the others by window
+    digest (128 bits).
+3.  So suffix arrays decide every run, on bytes. Where a run has more holders than the two that were sorted, the others take
+    over its spans by (h, c), together with the 128-bit digest of the sorted bytes; before a span is cut, the bytes there are
+    held against that digest. Runs with very many holders meet them by broadcast, of a number that is bounded.
 4.  Spans are joined to the texts, merged and cut out.
-Texts are known by a 64-bit digest; texts with equal digests count as copies.
+Texts are known by their MD5 digest; texts with equal digests count as copies.
 """
 
 from __future__ import annotations
@@ -21,16 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from metaspan.llm import bytesops as bo
 from metaspan.llm import suffix_array as sx
-from metaspan.llm.scratch import prepare, table, written
+from metaspan.llm.scratch import prepare, release, table, written
 
 LENGTH = 200
 #: Bytes of an anchor. Windows of LENGTH hold LENGTH - GRAM + 1 of them.
 GRAM = 64
 #: Holders of one anchor that a task sorts together.
 GROUP = 2048
+#: A run with more than this share of all anchor rows (and HOT rows) meets its holders by broadcast: there are at most
+#: SHARES of them.
+SHARES, HOT = 20_000, 500
 
 
 def _anchor_rows(length: int):
@@ -38,7 +45,7 @@ def _anchor_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0)
             for i, _, data, at in bo.chunks(batch.column(1)):
                 if len(data) < length:
                     continue
@@ -50,7 +57,7 @@ def _anchor_rows(length: int):
                     continue
                 whole = bo.substring(c, w0, w1 + length)
                 run_of = ((w0 - at[doc]) << 16) | ((place - w0) << 8) | (w1 - w0)
-                yield pa.record_batch([pa.array(grams[place].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[i + doc]), pa.array(run_of)], ["h", "c", "key", "run"])
+                yield pa.record_batch([pa.array(grams[place].view(np.int64)), pa.array(whole.view(np.int64)), keys.take(pa.array(i + doc)), pa.array(run_of)], ["h", "c", "key", "run"])
 
     return run
 
@@ -60,18 +67,18 @@ def _cut_holders(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("h", "shard", "shards", "c", "n", "key", "run", "piece")}
+            names = ("h", "shard", "shards", "c", "n", "second", "run")
+            rows: dict[str, list] = {k: [] for k in (*names, "key", "piece")}
             for key, text, wants in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wants").to_pylist()):
-                raw = text.as_buffer() if text.is_valid else b""
-                raw = memoryview(raw)
+                raw = memoryview(text.as_buffer() if text.is_valid else b"")
                 for x in wants:
                     s = x["run"] >> 16
-                    for k in ("h", "shard", "shards", "c", "n", "run"):
+                    for k in names:
                         rows[k].append(x[k])
                     rows["key"].append(key)
                     rows["piece"].append(bytes(raw[s : s + (x["run"] & 255) + length]))
             if rows["h"]:
-                kinds = {"piece": pa.binary()}
+                kinds = {"piece": pa.binary(), "key": pa.binary()}
                 yield pa.record_batch([pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()], list(rows))
 
     return run
@@ -94,17 +101,31 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return piece, start, label, np.bincount(label)[label]
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _sort_groups(length: int):
-    """Rows come ordered by (h, shard, c); whole groups are sorted together, about a megabyte at a time."""
+    """Rows come ordered by (h, shard, c, second); whole groups are sorted together, about a megabyte at a time.
+
+    Out come (key, span) for runs with one holder, (h, c, digest) for those with several, and for split groups (key, span,
+    digest) of windows that are lone in their part and (digest) of the others.
+    """
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        h, shard, c = (rows[k].to_numpy() for k in ("h", "shard", "c"))
+        h, shard, c, second = (rows[k].to_numpy() for k in ("h", "shard", "c", "second"))
         fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]) | (c[1:] != c[:-1])
+        fresh[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]) | (c[1:] != c[:-1]) | (second[1:] != second[:-1])
         rows = rows.filter(pa.array(fresh))
-        key, run, n, shards, h = (rows[k].to_numpy() for k in ("key", "run", "n", "shards", "h"))
+        run, n, shards, h, c, second = (rows[k].to_numpy() for k in ("run", "n", "shards", "h", "c", "second"))
+        key = rows["key"].combine_chunks()
         pieces = rows["piece"].to_pylist()
         piece, start, label, count = repeated_windows(pieces, length)
+        # runs with several holders: all their windows must have been found again
+        many = np.flatnonzero((n > 1) & (second == 0))
+        met = np.bincount(piece[count > 1], minlength=len(n))
+        if (met[many] < (run[many] & 255) + 1).any():
+            raise RuntimeError("unlike runs share two 64-bit digests")
         again = (count > 1) & (n[piece] == 1)
         order = np.lexsort((start[again], piece[again]))
         p, s = piece[again][order], start[again][order]
@@ -112,20 +133,21 @@ def _sort_groups(length: int):
         new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
         i = np.flatnonzero(new)
         j = np.concatenate((i[1:], [len(p)])) - 1 if len(i) else i
-        out_key, out_span = key[p[i]], (((run[p[i]] >> 16) + s[i]) << 16) | (s[j] - s[i] + length)
+        span = (((run[p[i]] >> 16) + s[i]) << 16) | (s[j] - s[i] + length)
         # parts of one split group: a digest of each class, and the place of what is lone here
         split = shards[piece] > 1
         lone = split & (count == 1) & (n[piece] == 1)
         _, pick = np.unique(np.where(split & ~lone, label, -1), return_index=True)
         pick = pick[(split & ~lone)[pick]]
         at = np.concatenate((np.flatnonzero(lone), pick))
-        dig = [hashlib.blake2b(pieces[p][s : s + length], digest_size=16).digest() for p, s in zip(piece[at], start[at])]
-        low = np.arange(len(at)) < int(lone.sum())
-        where = np.where(low, ((run[piece[at]] >> 16) + start[at]) << 16 | length, -1)
-        return pa.record_batch(
-            [pa.array(np.concatenate((out_key, key[piece[at]]))), pa.array(np.concatenate((out_span, where))), pa.array([None] * len(out_key) + dig, pa.binary())],
-            ["key", "span", "digest"],
-        )
+        parts = [_digest(pieces[p][s : s + length]) for p, s in zip(piece[at], start[at])]
+        where = np.where(np.arange(len(at)) < int(lone.sum()), ((run[piece[at]] >> 16) + start[at]) << 16 | length, -1)
+        none = lambda k, kind: pa.nulls(k, kind)
+        keys = pa.concat_arrays([key.take(pa.array(p[i])), none(len(many), pa.binary()), key.take(pa.array(piece[at]))])
+        spans = np.concatenate((span, np.full(len(many), -1), where))
+        digests = pa.concat_arrays([none(len(span), pa.binary()), pa.array([_digest(pieces[k]) for k in many], pa.binary()), pa.array(parts, pa.binary())])
+        of = [pa.concat_arrays([none(len(span), pa.int64()), pa.array(v[many]), none(len(at), pa.int64())]) for v in (h, c, n)]
+        return pa.record_batch([keys, pa.array(spans), digests, *of], ["key", "span", "digest", "h", "c", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -152,35 +174,49 @@ def _sort_groups(length: int):
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans) for each distinct text with repeats. docs: key long, did long (never null), text.
+    """(key, spans) for each distinct text with repeats. docs: key binary, did long (never null), text.
 
-    A span packs start << 16 | bytes; spans may overlap. Texts shorter than `length` bytes have none.
+    A span is (span, digest): span packs start << 16 | bytes, spans may overlap; the bytes of a span with a digest are to be
+    held against it. Texts shorter than `length` bytes have none.
     """
-    rows = docs.select("key", "text").mapInArrow(_anchor_rows(length), "h long, c long, key long, run long")
+    rows = docs.select("key", "text").mapInArrow(_anchor_rows(length), "h long, c long, key binary, run long")
     # the first shuffle carries 48 bits of h only; a chance collision merely lets a lone row through
     again = written(rows.groupBy(F.shiftrightunsigned("h", 16).alias("short")).agg(F.count("*").alias("k")).filter("k > 1").select("short"), "shared")
     members = rows.withColumn("short", F.shiftrightunsigned("h", 16)).join(again, "short", "left_semi").drop("short")
     members = written(members, "anchors")
-    same = written(members.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "run")).alias("one")), "same")
-    whole = members.join(same.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    whole = whole.select("key", F.expr(f"shiftleft(shiftright(run, 16), 16) | ((run & 255) + {length})").alias("span"))
-    unlike = same.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("h", F.ceil(F.col("kinds") / GROUP).alias("shards"))
-    wants = same.join(unlike, "h").select(
-        F.col("one.key").alias("key"),
-        F.struct("h", F.pmod(F.xxhash64("c"), F.col("shards")).alias("shard"), "shards", "c", "n", F.col("one.run").alias("run")).alias("x"),
+    release(again)
+    holder = F.struct("key", "run")
+    same = written(members.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(holder).alias("one"), F.max(holder).alias("two")), "same")
+    # all that share h, but for those h that only a chance collision let through
+    met = same.groupBy("h").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 or most > 1").select("h", F.ceil(F.col("kinds") / GROUP).alias("shards"))
+    both = F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    wants = same.join(met, "h").select("h", "c", "n", "shards", F.posexplode(both).alias("second", "at"))
+    wants = wants.select(
+        F.col("at.key").alias("key"),
+        F.struct("h", F.pmod(F.xxhash64("c"), F.col("shards")).alias("shard"), "shards", "c", "n", "second", F.col("at.run").alias("run")).alias("x"),
     )
-    first = docs.groupBy("key").agg(F.min("did").alias("leader"))
+    first = docs.groupBy("key").agg(F.min("did").alias("did"))
     wants = written(wants.groupBy("key").agg(F.collect_list("x").alias("wants")).join(first, "key"), "wants")
-    held = docs.join(wants.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("did") <= F.col("leader"))).select("key", "text", "wants")
-    held = held.mapInArrow(_cut_holders(length), "h long, shard long, shards long, c long, n long, key long, run long, piece binary")
+    held = docs.join(wants, ["key", "did"]).select("key", "text", "wants")
+    held = held.mapInArrow(_cut_holders(length), "h long, shard long, shards long, c long, n long, second long, run long, key binary, piece binary")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = held.repartition(parts, "h", "shard").sortWithinPartitions("h", "shard", "c")
-    found = written(sorted_.mapInArrow(_sort_groups(length), "key long, span long, digest binary"), "windows")
-    apart = found.filter("digest is not null")
-    met = apart.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
-    met = apart.filter("span >= 0").join(met, "digest", "left_semi").select("key", "span")
-    spans = whole.unionByName(found.filter("digest is null").select("key", "span")).unionByName(met)
-    return spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    sorted_ = held.repartition(parts, "h", "shard").sortWithinPartitions("h", "shard", "c", "second")
+    found = written(sorted_.mapInArrow(_sort_groups(length), "key binary, span long, digest binary, h long, c long, n long"), "windows")
+    apart = found.filter("digest is not null and h is null")
+    again = apart.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
+    lone = apart.filter("span >= 0").join(again, "digest", "left_semi")
+    # runs with several holders: those with very many are few, so their holders need not move
+    classes = found.filter("h is not null").select("h", "c", "n", "digest")
+    bound = max(HOT, (same.agg(F.sum("n")).first()[0] or 0) // SHARES)
+    hot = F.broadcast(classes.filter(F.col("n") > bound).select("h", "c", "digest"))
+    rest = members.join(hot, ["h", "c"], "left_anti").join(classes.filter(F.col("n") <= bound).select("h", "c", "digest"), ["h", "c"])
+    whole = members.join(hot, ["h", "c"]).unionByName(rest)
+    whole = whole.select("key", F.expr(f"shiftleft(shiftright(run, 16), 16) | ((run & 255) + {length})").alias("span"), "digest")
+    nothing = F.lit(None).cast("binary").alias("digest")
+    spans = whole.unionByName(found.filter("digest is null").select("key", "span", nothing)).unionByName(lone.select("key", "span", nothing))
+    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("span", "digest")).alias("spans")), "spans")
+    release(members, same, wants, found)
+    return spans
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -196,22 +232,27 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(as_text: bool):
-    """Columns text and spans become kept (binary) or text, then n_bytes, n_removed and n_spans; the others pass."""
+    """Columns row, text and spans become row, kept (binary or text), n_bytes, n_removed and n_spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_bytes, gone, n = [], [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans")):
                 raw = bytes(text.as_buffer()) if text.is_valid else b""
-                cut = merged(spans.values.to_numpy(zero_copy_only=False)) if spans.is_valid else []
+                cut = []
+                if spans.is_valid:
+                    places = spans.values.field("span").to_numpy(zero_copy_only=False)
+                    for v, digest in zip(places.tolist(), spans.values.field("digest").to_pylist()):
+                        if digest is not None and _digest(raw[v >> 16 : (v >> 16) + (v & 0xFFFF)]) != digest:
+                            raise RuntimeError("unlike runs share two 64-bit digests")
+                    cut = merged(places)
                 n_bytes.append(len(raw))
                 gone.append(sum(e - s for s, e in cut))
                 n.append(len(cut))
                 at = [0, *[x for span in cut for x in span], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))
-            rest = [k for k in batch.schema.names if k not in ("text", "spans")]
             out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.record_batch([*[batch.column(k) for k in rest], out, *[pa.array(v, pa.int64()) for v in (n_bytes, gone, n)]], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.record_batch([batch.column("row"), out, *[pa.array(v, pa.int64()) for v in (n_bytes, gone, n)]], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return run
 
@@ -222,18 +263,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
     Matches never cross documents; null is empty; every byte in a `length`-byte string that starts anywhere else goes,
     so copies lose all occurrences. Repeated rows are documents of their own and thus copies. Row order is not kept.
     With as_text kept is a string; what is left of a character that a cut went through is dropped then.
-    Columns named key, did, kept, n_bytes, n_removed, n_spans or spans in docs are dropped. An empty table gives none.
+    Columns named kept, n_bytes, n_removed or n_spans in docs are replaced; all others pass. An empty table gives none.
     """
     prepare(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("key", "did", "kept", "n_bytes", "n_removed", "n_spans", "spans", "text", "doc_id")]
-    keyed = docs.select(
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), "text", "doc_id", *rest
-    )
+    new = ("kept", "n_bytes", "n_removed", "n_spans")
+    rest = [f for f in docs.schema.fields if f.name not in (*new, "text")]
+    row = F.struct(*[F.col(f"`{f.name}`") for f in rest])
+    keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), "text", row.alias("row"))
     spans = repeat_spans(keyed.select("key", "did", "text"), length)
-    both = keyed.join(spans, "key", "left").select("doc_id", *rest, "text", "spans")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *rest))
-    return both.mapInArrow(_cut(as_text), f"{head}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    both = keyed.join(spans, "key", "left").select("row", "text", "spans")
+    kind = StructType([both.schema["row"], StructField("kept", StringType() if as_text else BinaryType()), *[StructField(c, LongType()) for c in new[1:]]])
+    out = both.mapInArrow(_cut(as_text), kind)
+    return out.select("row.*", *new)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
