@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaspan.llm.scratch import prepare, table
+from metaspan.llm.scratch import prepare, ship_file, shipped, table
 
 #: Fixed value: the pattern of byte-level BPE, as the tokenizers library has it.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,9 +166,9 @@ def loaded(path: str) -> ForcedBoundaryBPE:
     return _LOADED[path]
 
 
-def _encode_rows(path: str, keep_ids: bool):
+def _encode_rows(name: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(shipped(name))
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -193,22 +193,24 @@ def encode_texts(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame
     """docs' rows with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) in place of text.
 
     Texts are encoded whole. Null and empty texts have no tokens. Columns of docs with the new columns' names are
-    dropped. No shuffle: each row is encoded where it is read. path must be readable on every executor.
+    dropped. No shuffle: each row is encoded where it is read. path is a file of the driver's machine; Spark hands it
+    out to the executors.
     """
     prepare(docs.sparkSession)
     new = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     rest = [f for f in docs.schema.fields if f.name not in (*new, "text")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     tail = ", ids array<int>" if keep_ids else ""
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], "text").mapInArrow(_encode_rows(path, keep_ids), f"{head}n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], "text").mapInArrow(_encode_rows(ship_file(docs.sparkSession, path), keep_ids), f"{head}n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """rows with decoded, the text of the id array; a null array decodes to null, an unknown id fails."""
     prepare(rows.sparkSession)
+    name = ship_file(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(shipped(name))
         for batch in batches:
             texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in batch.column(ids).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])

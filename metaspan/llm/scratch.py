@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -33,6 +34,20 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hand a file of the driver's machine out to all executors, once per application; its name there is for shipped()."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(key)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Where an executor keeps a file that ship_file handed out."""
+    return SparkFiles.get(name)
+
+
 def folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a folder of this machine serves a session
     that runs on this machine alone; a cluster without a shared folder is an error."""
