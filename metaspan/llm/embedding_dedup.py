@@ -2,8 +2,8 @@
 
 Vectors are compared only with those of an equal label (and length). Equal vectors are one node with its number of ids. A
 label's nodes are cut into shards of at most CAP by hash; each shard gets a graph, written once. For each two shards of a
-label (and each shard with itself) a task queries either's graph with the other's vectors, verifies what was found by
-cosine in double precision, widens a query's beam by every link verified, and audits queries against all of the other
+label (and each shard with itself) a task queries the first one's graph with the other's vectors, of which no graph is sent,
+verifies what was found by cosine in double precision, widens a query's beam by every link verified, and audits queries against all of the other
 shard, a vector's match with itself left out: as many as it takes to see LINKS true links. While recall on them is below
 RECALL all beams double; if it still is when a beam is as wide as the shard, or if there are too few links to audit, all
 of the two shards is compared by blocks. A task returns a row per node: how many ids it
@@ -35,23 +35,29 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in double precision; first by their largest component, so that no finite row over- or underflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _build(t: pa.Table) -> pa.Table:
     t = t.sort_by("node")
     n = t.num_rows
-    x = _matrix(t["v"], n)
     ids = t["node"].to_numpy()
-    unit = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
-    g = Graph(unit, ids)
+    g = Graph(unit(_matrix(t["v"], n)).astype(np.float32), ids)
     packed = [[layer[i].tobytes() for layer in g.links[: g.level[i] + 1]] for i in range(n)]
     return t.append_column("links", pa.array(packed, pa.list_(pa.binary())))
 
 
-def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+def _load(t: pa.Table, graph: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph | None]:
     t = t.sort_by("node")
     n = t.num_rows
-    x = _matrix(t["v"], n).astype(np.float64)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x = unit(_matrix(t["v"], n))
     ids = t["node"].to_numpy()
+    if not graph:
+        return ids, t["ids"].to_numpy(), x, None
     packed = t["links"].to_pylist()
     layers: list[np.ndarray] = []
     for layer in range(max(len(p) for p in packed)):
@@ -149,8 +155,8 @@ def _link_task(cosine: float, audited: int):
             other = t.filter(pa.array(shard == hi))
             if not other.num_rows:
                 return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
-            b_ids, b_n, bx, bg = _load(other)
-            cross = _query(ag, ax, bx, cosine, audited).T | _query(bg, bx, ax, cosine, audited)
+            b_ids, b_n, bx, _ = _load(other, False)
+            cross = _query(ag, ax, bx, cosine, audited).T
             ids = np.concatenate((a_ids, b_ids))
             count = np.concatenate((cross @ b_n, cross.T @ a_n))
             n = len(a_ids)
@@ -193,6 +199,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cap: int = CAP,
     graphs = written(graphs, "graphs")
     tasks = graphs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     tasks = tasks.withColumn("lo", F.least("shard", "other")).withColumn("hi", F.greatest("shard", "other")).drop("other")
+    tasks = tasks.withColumn("links", F.when(F.col("shard") == F.col("lo"), F.col("links")))
     found = written(tasks.groupBy("label", "dim", "lo", "hi").applyInArrow(_link_task(cosine, audited), "node long, n long, least long"), "links")
     united = components(found.select("node", "least"), "node", "least")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
