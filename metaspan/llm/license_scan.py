@@ -12,6 +12,8 @@ an in-row map, and rules are matched by a pattern over the identifier sequence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ SENTENCES = {
     "cc-by-4": "licensed under cc by 4.0",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted",
     "all-rights": "all rights reserved",
+    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost-1": "distributed under the boost software license version 1.0",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "cc0-1": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 #: Fixed values, most specific first: (licence, identifiers in order).
 RULES = [
@@ -52,25 +66,48 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC-BY-4.0", ["cc-by-4"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD", ["bsd-redistribution"]),
+    ("ISC", ["isc-grant"]),
+    ("MPL-2.0", ["mpl-2"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost-1"]),
+    ("Zlib", ["zlib-warranty", "zlib-origin"]),
+    ("CC0-1.0", ["cc0-1"]),
     ("All rights reserved", ["all-rights"]),
 ]
 
 
 #: What may follow a known sentence in the licence's own text, after normalisation (a pattern).
 VARIANTS = {
-    "apache-2": " the license(?: you may not use .*)?",
+    "apache-2": "(?: the license(?: you may not use .*)?| see .*)?",
+    "mit-licensed": "(?: see .*)?",
+    "mit-released": "(?: see .*)?",
+    "apache-basis": " without warranties .*",
+    "bsd-endorse": ".*",
+    "boost-1": "(?: see .*)?",
+    "zlib-origin": ".*",
+    "cc0-1": ".*",
     "mit-grant": " and associated documentation files .*",
     "mit-warranty": " express or implied .*",
     "bsd-redistribution": " provided that the following conditions are met(?: .*)?",
 }
-_GPL = "(?:.{1,80} )?is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+_GPL = "(?:.{1,80} )?is free software you can redistribute it and or modify it under the terms of the gnu %s as published by the free software foundation either version %s of the license or at your option any later version"
 #: Sentences of licence headers that name their program: identifier -> pattern of the whole sentence.
 NOTICES = {
-    "gpl-3-notice": _GPL + "either version 3 of the license or at your option any later version",
-    "gpl-2-notice": _GPL + "either version 2 of the license or at your option any later version",
+    "gpl-3-notice": _GPL % ("general public license", "3"),
+    "gpl-2-notice": _GPL % ("general public license", "2"),
+    "lgpl-3-notice": _GPL % ("lesser general public license", "3"),
+    "lgpl-2.1-notice": _GPL % ("lesser general public license", "2.1"),
+    "agpl-3-notice": _GPL % ("affero general public license", "3"),
+    "bsd-endorse-named": "neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
-NOTICE_RULES = [("GPL-3.0-or-later", ["gpl-3-notice"]), ("GPL-2.0-or-later", ["gpl-2-notice"])]
+NOTICE_RULES = [
+    ("AGPL-3.0-or-later", ["agpl-3-notice"]), ("LGPL-3.0-or-later", ["lgpl-3-notice"]), ("LGPL-2.1-or-later", ["lgpl-2.1-notice"]),
+    ("GPL-3.0-or-later", ["gpl-3-notice"]), ("GPL-2.0-or-later", ["gpl-2-notice"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-named"]),
+]
 #: Their place among the rules: before the other GPL rules.
 _AT = [name for name, _ in RULES].index("GPL-3.0-or-later")
 
@@ -109,7 +146,9 @@ def _in_order(seq: list[str]) -> str:
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_known, sentence_ids, licenses, license; one row per row.
 
-    Texts that are null, empty or without known sentences have n_known 0, empty arrays and a null license. Repeated
+    known (identifier -> sentence in normal form) and rules (licence, identifiers in order), most specific first, are the
+    table's; without them the published sentences, headers and rules of this module serve. Texts that are null, empty or
+    without known sentences have n_known 0, empty arrays and a null license. Repeated
     rows are scanned alike; other columns are ignored.
     """
     notices = NOTICES if known is None else {}
@@ -119,8 +158,9 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     if len(known) > MAX_KNOWN or len(rules) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known sentences or rules")
     look = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
-    # the first two words of each known sentence make a cheap test: most texts never get split
-    probe = "(?i)" + "|".join(sorted({s.split(" ")[0] + "[^a-z0-9.]+" + s.split(" ")[1] for s in [*known.values(), *(["is free"] if notices else [])]}))
+    # the first three words of each known sentence make a cheap test: most texts never get split
+    heads = {"[^a-z0-9]+".join(re.escape(w) for w in s.split(" ")[:3]) for s in [*known.values(), *(["is free software", "neither the name"] if notices else [])]}
+    probe = "(?i)" + "|".join(sorted(heads))
     text = F.coalesce("text", F.lit(""))
     found = F.when(text.rlike(probe), identifiers(text, look, patterns))
     ids = F.coalesce(found, F.array().cast("array<string>"))
