@@ -6,9 +6,11 @@ released blocks the earliest deadline goes first. With weights that sum to 1 eve
 slots t each source has had less than one block more or less than w * t.
 
 Weights are whole numbers of UNITS parts, so the schedule repeats every UNITS slots: one period is worked out on the
-driver (its size depends on the number of sources alone) and block j's slot is read off it. The rows are numbered by
-source without bringing a source together: counts per hash bucket are summed ahead of each bucket, and rows are numbered
-inside their bucket only.
+driver (its size depends on the number of sources alone, and more than MAX_SOURCES are refused) and block j's slot is read
+off it. The rows are numbered by source without bringing a source together: counts per hash bucket are summed ahead of each
+bucket, and rows are numbered inside their bucket only. Equal rows share a hash and so a bucket, however many they are;
+they are spread over parts of it by their place in a written table, which tells them apart and changes nothing else, for
+equal rows are interchangeable.
 
 Nothing is dropped. When a source has run out, its later slots stay empty; the bound holds up to the first such slot
 (column `balanced`), and the others keep their proportions to one another after it.
@@ -27,8 +29,10 @@ from metaspan.llm.scratch import table, written
 
 BLOCK = 8
 UNITS = 1000
-#: Rows that a hash bucket holds on average; a source's buckets grow with its rows.
-BUCKET_ROWS = 512
+#: Rows that a hash bucket holds on average, and equal rows of a part of one; a source's buckets grow with its rows.
+BUCKET_ROWS, PART_ROWS = 512, 4096
+#: Sources beyond this number are refused: the plan (some four numbers a source) is made on the driver and broadcast.
+MAX_SOURCES = 50_000
 #: Exponent of a source's share of rows in its default weight: below 1 small sources gain.
 ALPHA = 0.5
 
@@ -73,17 +77,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
     weights: target weights by source name (null is the source '\\0null'); all sources of docs need one. Without weights a
     source's is its share of rows to the power alpha. Rows are ordered in a source by a hash of doc_id and text; equal
-    rows are interchangeable, and doc_ids that repeat or are null do no harm. Columns of these names are replaced.
-    Sort by (mix_slot, mix_place) for the mixed stream. An empty table gives none.
+    rows are interchangeable, and doc_ids that repeat or are null do no harm. Columns of docs with the names of the new ones
+    are replaced, all others pass as they are. Sort by (mix_slot, mix_place) for the mixed stream. An empty table gives none.
     """
     spark = docs.sparkSession
     new = ("mix_source", "mix_block", "mix_slot", "mix_place", "balanced")
-    kept = [c for c in docs.columns if c not in new]
     name: Column = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    rows = docs.select(*kept, name.alias("mix_source"))
-    counts = {r.mix_source: r.n for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}  # a row per source
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    rows = docs.select(name.alias("mix_source"), F.xxhash64("doc_id", "text").alias("h"), F.struct(*kept).alias("row"))
+    found = rows.groupBy("mix_source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counts = {r.mix_source: r.n for r in found}
     if not counts:
-        return rows.select("*", F.lit(None).cast("long").alias("mix_block"), F.lit(None).cast("long").alias("mix_slot"), F.lit(None).cast("int").alias("mix_place"), F.lit(True).alias("balanced"))
+        return rows.select("row.*", "mix_source", F.lit(None).cast("long").alias("mix_block"), F.lit(None).cast("long").alias("mix_slot"), F.lit(None).cast("int").alias("mix_place"), F.lit(True).alias("balanced"))
     missing = sorted(set(counts) - set(weights or counts))
     if missing:
         raise ValueError(f"no weight for the sources {missing}")
@@ -92,35 +99,45 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     slots = period(parts)
     plan = [(k, parts[k], counts[k], max(1, counts[k] // BUCKET_ROWS), slots[k]) for k in sorted(counts)]
     plan = spark.createDataFrame(plan, "mix_source string, parts int, rows long, buckets long, slots array<int>")
-    plan = F.broadcast(plan)  # `units` numbers and a row per source
-
-    h = F.xxhash64("doc_id", "text")
-    rows = rows.join(plan.select("mix_source", "buckets"), "mix_source").withColumn("_h", h)
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_h", 8), F.col("buckets"))).drop("buckets")
-    ahead = rows.groupBy("mix_source", "_bucket").agg(F.count("*").alias("_n"))
+    plan = F.broadcast(plan)  # total numbers (UNITS, or four a source) and a row per source, of MAX_SOURCES at most
+
+    rows = rows.join(plan.select("mix_source", "buckets"), "mix_source")
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), F.col("buckets"))).drop("buckets")
+    light = rows.select("mix_source", "bucket", "h")
+    again = light.groupBy("mix_source", "bucket", "h").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ROWS)
+    # hashes of very many equal rows; each takes more than PART_ROWS rows, so they are far fewer than rows
+    again = written(again.select("mix_source", "h", F.ceil(F.col("n") / PART_ROWS).alias("cuts")), "again")
+    if again.isEmpty():
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        rows = written(rows.withColumn("mark", F.monotonically_increasing_id()), "marked")  # written once, so marks stay
+        rows = rows.join(again, ["mix_source", "h"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("mark"), F.col("cuts")), F.lit(0))).drop("mark", "cuts")
+    # a bucket's parts are numbered one after another: what is in no cut group first
+    ahead = rows.groupBy("mix_source", "bucket", "part", F.when(F.col("part") > 0, F.col("h")).alias("own")).agg(F.count("*").alias("n"))
     ahead = _running(written(ahead, "buckets"))
-    place = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy("_h", "doc_id")) - 1
-    rank = rows.withColumn("_in", place).join(ahead, ["mix_source", "_bucket"]).withColumn("_rank", F.col("_ahead") + F.col("_in"))
+    rows = rows.withColumn("own", F.when(F.col("part") > 0, F.col("h")))
+    place = F.row_number().over(Window.partitionBy("mix_source", "bucket", "part", "own").orderBy("h")) - 1
+    rank = rows.withColumn("at", place).join(ahead.withColumnsRenamed({"mix_source": "s", "bucket": "b", "part": "p", "own": "o"}), F.expr("mix_source = s and bucket = b and part = p and own <=> o"))
+    rank = rank.withColumn("rank", F.col("ahead") + F.col("at"))
     ends = [(counts[k] + block - 1) // block for k in sorted(counts)]
     # the first slot of a block that a source no longer has
     first_gap = min((e // parts[k]) * total + slots[k][e % parts[k]] for k, e in zip(sorted(counts), ends))
-    number = F.floor(F.col("_rank") / block)
-    out = rank.join(plan.select("mix_source", "parts", "slots"), "mix_source").withColumn("mix_block", number)
+    out = rank.join(plan.select("mix_source", "parts", "slots"), "mix_source").withColumn("mix_block", F.floor(F.col("rank") / block))
     slot = F.floor(F.col("mix_block") / F.col("parts")) * total + F.element_at("slots", (F.col("mix_block") % F.col("parts") + 1).cast("int"))
     out = out.withColumn("mix_slot", slot.cast("long"))
-    return out.select(*kept, "mix_source", "mix_block", "mix_slot", (F.col("_rank") % block).cast("int").alias("mix_place"), (F.col("mix_slot") < first_gap).alias("balanced"))
+    return out.select("row.*", "mix_source", "mix_block", "mix_slot", (F.col("rank") % block).cast("int").alias("mix_place"), (F.col("mix_slot") < first_gap).alias("balanced"))
 
 
 def _running(counted: DataFrame, group: int = 256) -> DataFrame:
-    """(mix_source, _bucket, _ahead): rows in the source's earlier buckets. Sums run in two levels, so that no window
-    holds more than about `group` buckets, or the sums of that many."""
-    lap = F.floor(F.col("_bucket") / group)
-    counted = counted.withColumn("_lap", lap)
-    inner = F.sum("_n").over(Window.partitionBy("mix_source", "_lap").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    laps = counted.groupBy("mix_source", "_lap").agg(F.sum("_n").alias("_s"))
-    outer = F.sum("_s").over(Window.partitionBy("mix_source").orderBy("_lap").rowsBetween(Window.unboundedPreceding, -1))
-    laps = laps.select("mix_source", "_lap", F.coalesce(outer, F.lit(0)).alias("_base"))
-    return counted.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(laps, ["mix_source", "_lap"]).select("mix_source", "_bucket", (F.col("_base") + F.col("_inner")).alias("_ahead"))
+    """(mix_source, bucket, part, own, ahead): rows of the source in earlier buckets, or parts of the bucket. Sums run in two
+    levels, so that no window holds more than about `group` buckets, or the sums of that many."""
+    lap = F.floor(F.col("bucket") / group)
+    counted = counted.withColumn("lap", lap)
+    inner = F.sum("n").over(Window.partitionBy("mix_source", "lap").orderBy("bucket", "part", "own").rowsBetween(Window.unboundedPreceding, -1))
+    laps = counted.groupBy("mix_source", "lap").agg(F.sum("n").alias("all"))
+    outer = F.sum("all").over(Window.partitionBy("mix_source").orderBy("lap").rowsBetween(Window.unboundedPreceding, -1))
+    laps = laps.select("mix_source", "lap", F.coalesce(outer, F.lit(0)).alias("base"))
+    return counted.withColumn("inner", F.coalesce(inner, F.lit(0))).join(laps, ["mix_source", "lap"]).select("mix_source", "bucket", "part", "own", (F.col("base") + F.col("inner")).alias("ahead"))
 
 
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
