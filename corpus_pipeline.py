@@ -24,15 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays. Rows with a null doc_id stay."""
-    found = written(jaccard_join.jaccard_components(docs.select("doc_id", "text"), SHINGLE, PERCENT), "groups")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if again.isEmpty():
-        return kept
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])  # rows that share an id are one document
-    return once.unionByName(kept.filter("doc_id is null"))
+    """Of each group of near copies the row with the least doc_id stays (null last; of one doc_id the first read).
+
+    Every row is a document of its own here, known by its place in a written copy of the table: rows that share a doc_id, or
+    have none, are compared by their texts like all others. Rows without words link with nothing and stay.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*docs.columns).alias("row")), "keyed")
+    texts = keyed.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))
+    found = written(jaccard_join.jaccard_components(texts, SHINGLE, PERCENT).select(F.col("doc_id").alias("place"), "component_id"), "groups")
+    many = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = found.join(many, "component_id").join(keyed.select("place", F.col("row.doc_id").alias("id")), "place")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "place")
+    first = members.groupBy("component_id").agg(F.min(order).alias("first")).select("component_id", F.col("first.place").alias("place"))
+    gone = members.join(first, ["component_id", "place"], "left_anti").select("place")
+    return keyed.join(gone, "place", "left_anti").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
