@@ -6,8 +6,8 @@ labels. With class prior pi, loss l and scorer g the risk is
     pi * mean_P l(g, +1)  +  max(0, mean_U l(g, -1) - pi * mean_P l(g, -1));
 
 when the second part falls below zero, its own gradient is followed upwards, as non-negative PU learning does. The prior
-is estimated from the training labels: the share of positives among labelled training rows (labels cover a random part
-of the corpus), smoothed by one row of either kind. The scorer is linear in byte statistics of the whole text.
+comes from the trusted positives and the unlabelled texts alone (class_prior); rows labelled 0 take no part in the fit. The
+scorer is linear in byte statistics of the whole text.
 
 Features: for each text, shares of byte classes and of pairs of neighbouring byte classes, plus ratios of shape
 and of repeated words; all from whole texts, in numpy. Labels, language, source and id are never features. Only the fit uses a sample, of a fixed,
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from metaspan.llm import bytesops as bo
 from metaspan.llm.scratch import prepare, table, written
@@ -104,32 +105,78 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-    """Minimise the non-negative PU risk by Adam over whole batches; deterministic."""
+def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positive part, negative part) of the risk with the logistic loss, from the margins of positives and unlabelled; the
+    non-negative risk is the first plus the larger of the second and 0."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def pu_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the fit goes against, by margin: the gradient of the whole risk, or, where the negative part is below 0, that of
+    the positive part less that of the negative part."""
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    way = 1.0 if pu_risk(zp, zu, prior)[1] >= 0 else -1.0
+    # of l(g, +1) the derivative is s - 1, of l(g, -1) it is s
+    up = prior * (sp - 1) / len(zp)
+    return (up - prior * sp / len(zp) if way > 0 else up + prior * sp / len(zp)), way * su / len(zu)
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4, settled: float = 1e-6) -> Model:
+    """Minimise the non-negative PU risk by Adam over whole batches, until the risk's mean over 20 steps falls by less than
+    `settled`; deterministic."""
     both = np.concatenate((positive, unlabelled)) if len(positive) or len(unlabelled) else np.zeros((1, WIDTH), np.float32)
     mean, scale = both.mean(0), both.std(0) + 0.02
     start = float(np.log(prior / (1 - prior)))
     if not len(positive) or not len(unlabelled):
         return Model(prior, mean, scale, np.zeros(both.shape[1], np.float32), start)
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
-    w = np.zeros(both.shape[1] + 1)
+    xp, xu = (((x - mean) / scale).astype(np.float32) for x in (positive, unlabelled))
+    w = np.zeros(both.shape[1] + 1, np.float32)
     w[-1] = start
     m, v = np.zeros_like(w), np.zeros_like(w)
+    past: list[float] = []
     for t in range(1, steps + 1):
         zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # gradients with respect to the margins: of l(g, +1) it is s - 1, of l(g, -1) it is s
-        dp, du = prior * (sp - 1) / len(zp), np.zeros_like(su)
-        if negative >= 0:
-            dp, du = dp - prior * sp / len(zp), su / len(zu)
-        else:
-            dp, du = prior * sp / len(zp), -su / len(zu)
-        g = np.concatenate((xp.T @ dp + xu.T @ du, [dp.sum() + du.sum()]))
+        parts = pu_risk(zp, zu, prior)
+        past.append(parts[0] + max(0.0, parts[1]))
+        if t > 60 and np.mean(past[-40:-20]) - np.mean(past[-20:]) < settled:
+            break
+        dp, du = (d.astype(np.float32) for d in pu_gradient(zp, zu, prior))
+        g = np.concatenate((dp @ xp + du @ xu, [dp.sum() + du.sum()])).astype(np.float32)
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(prior, mean, scale, w[:-1].astype(np.float32), float(w[-1]))
+    return Model(prior, mean, scale, w[:-1], float(w[-1]))
+
+
+def mixture_share(sp: np.ndarray, su: np.ndarray, risk: float = 0.1) -> float:
+    """The share of positives among unlabelled texts, from scores of positives and unlabelled that no fit has seen.
+
+    Above a cut the unlabelled hold at least their positives: share <= P(su >= cut) / P(sp >= cut). The cut is the one with
+    the least upper confidence bound of that quotient, where nearly all that is left are positives.
+    """
+    cuts = np.unique(sp)
+    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, "left") / len(s)
+    qp, qu = above(sp), above(su)
+    slack = np.sqrt(np.log(4 / risk) / 2) * (len(su) ** -0.5 + len(sp) ** -0.5)
+    best = int(np.argmin((qu + slack) / qp))
+    return float(qu[best] / qp[best])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, cuts: int = 4) -> float:
+    """The prior from features of positives and unlabelled: a scorer that tells the two apart is fitted on half of each, and
+    the share is read off its scores of the other half; the mean over `cuts` halvings, either half being fitted on. Without
+    enough rows of either, 0.5."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    shares = []
+    for cut in range(cuts):
+        rng = np.random.default_rng(cut)
+        halves = [(x[o[::2]], x[o[1::2]]) for x, o in ((x, rng.permutation(len(x))) for x in (positive, unlabelled))]
+        for k in (0, 1):
+            model = fit_nnpu(halves[0][k], halves[1][k], 0.5, steps=150, ridge=1e-3)
+            shares.append(mixture_share(model.score(halves[0][1 - k]), model.score(halves[1][1 - k])))
+    least = 1 / (len(unlabelled) + 2)
+    return min(1 - least, max(least, float(np.mean(shares))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,14 +184,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on the training fold. Samples are the rows of least id hash, at most the given numbers of each."""
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, aside: int | None = None) -> Model:
+    """Fit on the training fold. Samples are the rows of least id hash, at most the given numbers of each. `aside` leaves a
+    further remainder of the folds' hash (1 to 4) out, for choices between models. A doc_id that is no whole number names
+    no document: such rows have no part in the fit."""
     prepare(docs.sparkSession)
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"))
-    marks = marks.filter("doc_id is not null and q is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("q").alias("q"))
-    n, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("q") == 1).cast("int")), F.lit(0))).first()
-    prior = (n_pos + 1) / (n + 2)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
+    number = lambda c: F.expr(f"try_cast({c} as bigint)").alias("doc_id")
+    ours = ~held_out(F.col("doc_id"))
+    if aside is not None:
+        ours = ours & (F.crc32(F.col("doc_id").cast("string")) % 5 != aside)
+    marks = labels.select(number("doc_id"), F.col("quality").cast("int").alias("q"))
+    marks = marks.filter("doc_id is not null and q is not null").filter(ours).groupBy("doc_id").agg(F.min("q").alias("q"))
+    n_pos = marks.filter("q = 1").count()
+    ids = docs.select(number("doc_id")).filter("doc_id is not null").filter(ours)
     n_docs = ids.count()
 
     def sample(frame: DataFrame, bound: int, count: int, positive: int) -> DataFrame:
@@ -155,31 +207,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     chosen = sample(marks.filter("q = 1"), max_positive, n_pos, 1).unionByName(sample(ids, max_unlabelled, n_docs, 0))
     chosen = written(chosen, "sample")  # at most max_positive + max_unlabelled rows of two numbers: safe to broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text")
+    texts = docs.select(number("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text")
     texts = texts.dropDuplicates(["doc_id", "positive"])
     rows = texts.select("positive", "text").mapInArrow(_feature_rows, "positive int, x binary").collect()
     rows.sort(key=lambda r: (r.positive, bytes(r.x)))  # the sums below must not depend on the order of tasks
     take = lambda k: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.positive == k], np.float32).reshape(-1, WIDTH)
-    return fit_nnpu(take(1), take(0), prior)
+    positive, unlabelled = take(1), take(0)
+    for x in (positive, unlabelled):  # sorted rows in a fixed, arbitrary order, so that halves are alike
+        np.random.default_rng(0).shuffle(x)
+    return fit_nnpu(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def _score_rows(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(features(data, at)) for _, _, data, at in bo.chunks(batch.column("_text"))]
+            found = [model.score(features(data, at)) for _, _, data, at in bo.chunks(batch.column("text"))]
             s = np.concatenate(found) if found else np.zeros(0)
-            rest = [k for k in batch.schema.names if k != "_text"]
-            yield pa.record_batch([*[batch.column(k) for k in rest], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*rest, "score", "predicted"])
+            yield pa.record_batch([batch.column("row"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows with score and predicted appended (columns of these names are replaced). Null texts score as empty ones."""
+    """docs' rows with score and predicted appended. Columns of these two names are replaced, all others pass whatever their
+    names; null texts score as empty ones; repeated rows score alike; an empty table gives none."""
     prepare(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col("text").alias("_text")).mapInArrow(_score_rows(model, threshold), f"{head}score double, predicted int")
+    kept = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("score", "predicted")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("text"))
+    kind = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(_score_rows(model, threshold), kind).select("row.*", "score", "predicted")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,50 @@ def test_quality_classifier(spark, odd, none):
     assert {r.score for r in pu_quality.score(odd, empty).collect()} == {0.5}
 
 
+def test_pu_risk_and_gradient_against_plain_sums():
+    rng = np.random.default_rng(4)
+    loss = lambda z, y: np.log(1 + np.exp(-y * z))
+    seen = set()
+    for prior in (0.2, 0.5, 0.9):
+        for shift in (-1.0, 0.0, 2.0):
+            zp, zu = rng.normal(shift, 1, 7), rng.normal(shift / 2 - 1, 1, 11)
+            up = prior * sum(loss(z, 1) for z in zp) / 7
+            down = sum(loss(z, -1) for z in zu) / 11 - prior * sum(loss(z, -1) for z in zp) / 7
+            assert pu_quality.pu_risk(zp, zu, prior) == pytest.approx((up, down))
+            way = 1 if down >= 0 else -1
+            seen.add(way)
+            value = lambda a, b: pu_quality.pu_risk(a, b, prior)[0] + way * pu_quality.pu_risk(a, b, prior)[1]
+            dp, du = pu_quality.pu_gradient(zp, zu, prior)
+            for k in range(7):
+                e = np.eye(7)[k] * 1e-5
+                assert dp[k] == pytest.approx((value(zp + e, zu) - value(zp - e, zu)) / 2e-5, abs=1e-6)
+            for k in range(11):
+                e = np.eye(11)[k] * 1e-5
+                assert du[k] == pytest.approx((value(zp, zu + e) - value(zp, zu - e)) / 2e-5, abs=1e-6)
+    assert seen == {1, -1}
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(6)
+    for share in (0.3, 0.6, 0.85):
+        good, bad = rng.normal(1.5, 1, (6000, 6)).astype(np.float32), rng.normal(-1.5, 1, (4000, 6)).astype(np.float32)
+        n = 4000
+        k = int(share * n)
+        mixed = np.concatenate((good[2000 : 2000 + k], bad[: n - k]))
+        rng.shuffle(mixed)
+        assert abs(pu_quality.class_prior(good[:2000], mixed) - share) < 0.06
+    assert pu_quality.class_prior(good[:1], mixed) == 0.5
+
+
+def test_quality_with_clashing_names_and_text_ids(spark):
+    model = pu_quality.fit_nnpu(np.ones((4, pu_quality.WIDTH), np.float32), np.zeros((4, pu_quality.WIDTH), np.float32), 0.5, steps=5)
+    frame = spark.createDataFrame([("x", "a text", "t", "r", 7)], "doc_id string, text string, _text string, row string, score int")
+    (got,) = pu_quality.score(frame, model).collect()
+    assert (got.doc_id, got._text, got.row) == ("x", "t", "r") and 0 <= got.score <= 1
+    labels = spark.createDataFrame([("x", 1), ("2", 1)], "doc_id string, quality int")
+    assert pu_quality.fit(frame, labels).prior == 0.5
+
+
 def test_nnpu_separates_with_few_positives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (300, 5)), rng.normal(-2, 1, (200, 5))
