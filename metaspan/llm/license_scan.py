@@ -113,8 +113,8 @@ _AT = [name for name, _ in RULES].index("GPL-3.0-or-later")
 
 #: Sentences end at line breaks, and at . ! or ? before white space.
 BREAK = r"[\n\r]+|(?<=[.!?])\s+"
-#: Wrapped sentences end at blank lines (comment marks aside), and at . ! or ? before white space.
-WRAPPED_BREAK = r"(?:\r?\n[ \t#*/;-]*){2,}|(?<=[.!?])\s+"
+#: Wrapped sentences end at blank lines (comment marks aside), and at . ! or ? before white space, but not behind `v.`.
+WRAPPED_BREAK = r"(?:\r?\n[ \t#*/;-]*){2,}|(?<=[.!?])(?<!\bv\.)\s+"
 #: An address on a line of its own belongs to the sentence before it.
 ADDRESS = r"(?i)(?<=\bat)[\s#*/;-]+(?=https?://)"
 
