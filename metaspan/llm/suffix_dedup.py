@@ -4,13 +4,13 @@ Suffixes of the whole corpus are never brought together. Each window of LENGTH b
 equal windows have equal anchors at equal offsets, so windows can only meet within one anchor's group:
 1.  A pass emits an anchor row for each run of windows with one anchor: digest h of the k-gram, digest c of all the
     run's bytes, text key and place. Rows whose h is lone are done. The rest are counted by (h, c).
-2.  Of every (h, c) the bytes of one holder are fetched, or of two where it has several, and suffix arrays are built over
-    all that share h: two-stage sorting, then adjacent common prefixes; windows whose neighbours share LENGTH bytes
-    repeat. Groups beyond GROUP holders are split over tasks; what then is lone in its part meets the others by window
-    digest (128 bits).
-3.  So suffix arrays decide every run, on bytes. Where a run has more holders than the two that were sorted, the others take
-    over its spans by (h, c), together with the 128-bit digest of the sorted bytes; before a span is cut, the bytes there are
-    held against that digest. Runs with very many holders meet them by broadcast, of a number that is bounded.
+2.  Of every (h, c) the bytes of one holder are fetched, or of two where it has several. Two holders' bytes are compared:
+    equal ones repeat as a whole. Where an h has several c, suffix arrays are built over one holder of each: two-stage
+    sorting, then adjacent common prefixes; windows whose neighbours share LENGTH bytes repeat. Groups beyond GROUP
+    holders are split over tasks; what then is lone in its part meets the others by window digest (128 bits).
+3.  So bytes decide every run. Where a run has more holders than the two that were compared, the others take over its spans
+    by (h, c), together with the 128-bit digest of the compared bytes; before a span is cut, the bytes there are held
+    against that digest. Runs with very many holders meet them by broadcast, of a number that is bounded.
 4.  Spans are joined to the texts, merged and cut out.
 Texts are known by their MD5 digest; texts with equal digests count as copies.
 """
@@ -117,15 +117,22 @@ def _sort_groups(length: int):
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]) | (c[1:] != c[:-1]) | (second[1:] != second[:-1])
         rows = rows.filter(pa.array(fresh))
-        run, n, shards, h, c, second = (rows[k].to_numpy() for k in ("run", "n", "shards", "h", "c", "second"))
+        second, whole = rows["second"].to_numpy(), rows["piece"].to_pylist()
+        for k in np.flatnonzero(second):  # the second holder stands behind the first
+            if whole[k] != whole[k - 1]:
+                raise RuntimeError("unlike runs share two 64-bit digests")
+        rows = rows.filter(pa.array(second == 0))
+        run, n, shards, h, c, shard = (rows[k].to_numpy() for k in ("run", "n", "shards", "h", "c", "shard"))
         key = rows["key"].combine_chunks()
         pieces = rows["piece"].to_pylist()
-        piece, start, label, count = repeated_windows(pieces, length)
-        # runs with several holders: all their windows must have been found again
-        many = np.flatnonzero((n > 1) & (second == 0))
-        met = np.bincount(piece[count > 1], minlength=len(n))
-        if (met[many] < (run[many] & 255) + 1).any():
-            raise RuntimeError("unlike runs share two 64-bit digests")
+        many = np.flatnonzero(n > 1)
+        # a run that is alone under its h (and in its part, if there is one part) has nothing else to meet
+        edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]))))
+        size = np.diff(np.concatenate((edge, [len(h)])))
+        some = np.flatnonzero((np.repeat(size, size) > 1) | (shards > 1))
+        piece, start, label, count = repeated_windows([pieces[k] for k in some], length)
+        piece = some[piece]
+        count = np.where(n[piece] > 1, 2, count)
         again = (count > 1) & (n[piece] == 1)
         order = np.lexsort((start[again], piece[again]))
         p, s = piece[again][order], start[again][order]
