@@ -26,9 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the least doc_id stays (null last; of one doc_id the first read).
 
-    Every row is a document of its own here, known by its place in a written copy of the table: rows that share a doc_id, or
-    have none, are compared by their texts like all others. Rows without words link with nothing and stay.
+    Every row is a document of its own: where rows share a doc_id, or have none, rows are known by their place in a written
+    copy of the table and compared by their texts like all others. Rows without words link with nothing and stay.
     """
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():  # ids name the rows
+        found = written(jaccard_join.jaccard_components(docs.select("doc_id", "text"), SHINGLE, PERCENT), "groups")
+        return docs.join(found.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     keyed = written(docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*docs.columns).alias("row")), "keyed")
     texts = keyed.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))
     found = written(jaccard_join.jaccard_components(texts, SHINGLE, PERCENT).select(F.col("doc_id").alias("place"), "component_id"), "groups")
