@@ -166,11 +166,14 @@ def propagate_labels(edges: DataFrame, seeds: DataFrame, alpha: float, tolerance
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's shared folder; a folder of our own only where none is set."""
+    """checkpoint() in the cluster's shared folder, spark.checkpoint.dir. Where none is set, a folder of this machine serves
+    a session that runs on this machine alone; a cluster without a shared folder is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         found = sc.getConf().get("spark.checkpoint.dir")
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             found = tempfile.mkdtemp(prefix="metaspan-checkpoint-")

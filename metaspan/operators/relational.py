@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaspan.operators.meta import cut
+
 
 def qualify(df: DataFrame, window: dict[str, Column], condition: str, keep: bool = False) -> DataFrame:
     """QUALIFY: filter on window results, which are dropped again unless keep is set."""
@@ -63,13 +65,18 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence[str]
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_row") -> DataFrame:
-    """A global row number from 0 in the given (unique) order without a one-task window."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("_part").orderBy(*order)
-    spread = spread.withColumn("_in", F.row_number().over(inner) - 1)
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    """A global row number from 0 in the given (unique) order without a one-task window.
+
+    The ranged and sorted rows are written once, each with its place (partition, row in it); both the counts and the
+    numbers come from that table, since a second run of the same range partitioning may cut the rows elsewhere.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(spread.withColumn("_at", F.monotonically_increasing_id()))  # partition << 33 | row
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row per partition
     ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    return spread.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_in")).drop("_part", "_in", "_ahead")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(ahead), part == F.col("_part")).withColumn(name, F.col("_ahead") + inside).drop("_part", "_at", "_ahead")
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -133,10 +140,11 @@ def static_describe(df: DataFrame) -> DataFrame:
 
 
 def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 100) -> DataFrame:
-    """UNION ALL of start and its repeated steps until a step gives nothing; more than `limit` steps are an error."""
+    """UNION ALL of start and its repeated steps until a step gives nothing; more than `limit` steps are an error. Each
+    step is checkpointed, so lineage stays short."""
     found, wave = start, start
     for _ in range(limit):
-        wave = step(wave).persist()
+        wave = cut(step(wave))
         if wave.isEmpty():
             return found
         found = found.unionByName(wave)
@@ -188,3 +196,32 @@ def change_event(value: Column, window) -> Column:
 def true_event(condition: Column, window) -> Column:
     """CONDITIONAL_TRUE_EVENT: running number of rows where the condition holds."""
     return F.sum(F.when(condition, 1).otherwise(0)).over(window)
+
+
+def count_min_estimate(sketch: Column, item: Column) -> Column:
+    """The count of a whole number in a sketch that count_min_sketch made: never too low, too high by the sketch's error.
+
+    The sketch's bytes are its version, total, depth and width, then a multiplier per row, then the rows (big-endian).
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def estimate(sketches, items):
+        import numpy as np
+        import pandas as pd
+
+        out, held = [], {}
+        for raw, x in zip(sketches, items):
+            if raw is None or x is None or x != x:
+                out.append(None)
+                continue
+            if raw not in held:
+                depth, width = np.frombuffer(raw, ">i4", 2, 12)
+                held = {raw: (np.frombuffer(raw, ">i8", depth, 20).astype(np.int64), np.frombuffer(raw, ">i8", depth * width, 20 + 8 * depth).reshape(depth, width))}
+            factors, table = held[raw]
+            h = factors * np.int64(x)
+            h = (h + (h >> 32)) & ((1 << 31) - 1)
+            out.append(int(table[np.arange(len(h)), h % table.shape[1]].min()))
+        return pd.Series(out, dtype="Int64")
+
+    return estimate(sketch, item.cast("long"))

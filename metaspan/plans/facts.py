@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import count
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +24,68 @@ SCHEMAS = {
 }
 
 
+def _rows_of(spark: SparkSession, task: str, text: str, catalog: dict[str, list[str]]) -> dict[str, list]:
+    """The fact rows of one script."""
+    rows: dict[str, list] = {k: [] for k in SCHEMAS}
+    for s, a in A.analyse_script(spark, text, catalog):
+        sid = hashlib.sha256(f"{task}|{s.index}|{s.text}".encode()).hexdigest()[:16]
+        rows["statements"].append((task, sid, s.index, s.category, (s.start, s.end), s.text, a.status, a.message))
+        grain, card = A.grains(a.relations), A.cardinalities(a.relations)
+        for r in a.relations:
+            rows["relations"].append((task, sid, r.id, r.type, {k: str(v) for k, v in r.detail.items() if v is not None}, r.columns, grain[r.id], *card[r.id]))
+            rows["relation_edges"] += [(task, sid, i, r.id, k) for k, i in enumerate(r.inputs)]
+        for i, c in enumerate(a.outputs):
+            rows["column_lineage"] += [(task, sid, i, c.name, t, n) for t, n in sorted(c.origins)]
+            rows["output_status"].append((task, sid, i, c.name, "RESOLVED" if c.known else "UNKNOWN"))
+        rows["dataset_io"] += [(task, sid, "READ", d) for d in a.reads] + [(task, sid, "WRITE", d) for d in a.writes]
+        rows["unknowns"] += [(task, sid, r, x) for r, x in a.unknowns]
+        if a.writes:
+            target = catalog.get(a.writes[0])
+            rows["output_field_bindings"] += [(task, sid, *b) for b in A.bind_outputs(a, None if target is None else list(target))]
+    return rows
+
+
+#: Scripts parsed before their rows leave the driver, and threads that parse.
+BATCH, THREADS = 256, 8
+
+
+def _batches(spark: SparkSession, scripts, catalog: dict):
+    """Fact rows of BATCH scripts at a time. Spark's parser runs in the driver's JVM; threads wait on it side by side."""
+    scripts = iter(scripts)
+    with ThreadPoolExecutor(THREADS) as pool:
+        while some := list(islice(scripts, BATCH)):
+            rows: dict[str, list] = {k: [] for k in SCHEMAS}
+            for one in pool.map(lambda x: _rows_of(spark, x[0], x[1], catalog), some):
+                for k, v in one.items():
+                    rows[k] += v
+            yield rows
+
+
 def plan_facts(spark: SparkSession, tasks: dict[str, str], catalog: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """tasks: id -> SQL script. Parsing runs on the driver, one small statement at a time; the rows are what is large."""
+    """tasks: id -> SQL script; a dictionary of them is small. write_plan_facts takes a table of any size."""
     rows: dict[str, list] = {k: [] for k in SCHEMAS}
-    catalog = catalog or {}
-    for task in sorted(tasks):
-        for s, a in A.analyse_script(spark, tasks[task], catalog):
-            sid = hashlib.sha256(f"{task}|{s.index}|{s.text}".encode()).hexdigest()[:16]
-            rows["statements"].append((task, sid, s.index, s.category, (s.start, s.end), s.text, a.status, a.message))
-            grain, card = A.grains(a.relations), A.cardinalities(a.relations)
-            for r in a.relations:
-                rows["relations"].append((task, sid, r.id, r.type, {k: str(v) for k, v in r.detail.items() if v is not None}, r.columns, grain[r.id], *card[r.id]))
-                rows["relation_edges"] += [(task, sid, i, r.id, k) for k, i in enumerate(r.inputs)]
-            for i, c in enumerate(a.outputs):
-                rows["column_lineage"] += [(task, sid, i, c.name, t, n) for t, n in sorted(c.origins)]
-                rows["output_status"].append((task, sid, i, c.name, "RESOLVED" if c.known else "UNKNOWN"))
-            rows["dataset_io"] += [(task, sid, "READ", d) for d in a.reads] + [(task, sid, "WRITE", d) for d in a.writes]
-            rows["unknowns"] += [(task, sid, r, x) for r, x in a.unknowns]
-            if a.writes:
-                rows["output_field_bindings"] += [(task, sid, *b) for b in A.bind_outputs(a, catalog.get(a.writes[0]))]
+    for some in _batches(spark, sorted(tasks.items()), catalog or {}):
+        for k, v in some.items():
+            rows[k] += v
     return {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}
 
 
+def write_plan_facts(spark: SparkSession, tasks: DataFrame, folder: str, catalog: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Facts of tasks(task_id, sql) as Parquet tables under folder. Scripts come to the driver a partition at a time, and the
+    rows of BATCH scripts are appended before the next are parsed, so the driver's memory does not grow with the table. A
+    script whose text was analysed before, under any task, is parsed once: its rows are copied."""
+    texts = tasks.groupBy(F.sha2("sql", 256).alias("sha")).agg(F.min("sql").alias("sql"))
+    for rows in _batches(spark, ((r.sha, r.sql) for r in texts.toLocalIterator()), catalog or {}):
+        for k, v in rows.items():
+            spark.createDataFrame(v, SCHEMAS[k]).write.mode("append").parquet(f"{folder}/by_text/{k}")
+    named = tasks.select(F.col("task_id").alias("task"), F.sha2("sql", 256).alias("task_id"))
+    for k, ddl in SCHEMAS.items():
+        own = spark.read.schema(ddl).parquet(f"{folder}/by_text/{k}").join(named, "task_id")
+        own = own.withColumn("statement_id", F.substring(F.sha2(F.concat_ws("|", "task", "statement_id"), 256), 1, 16)).withColumn("task_id", F.col("task")).drop("task")
+        own.write.mode("overwrite").parquet(f"{folder}/{k}")
+    return {k: spark.read.schema(ddl).parquet(f"{folder}/{k}") for k, ddl in SCHEMAS.items()}
+
+
 def validate(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Constraint queries; a valid bundle has no row in any."""
     ids = facts["relations"].select("statement_id", F.col("relation_id").alias("from_relation_id"))

@@ -178,9 +178,10 @@ def join_asof(t):
     return R.asof_join(clicks, buys, "ts", "ts", ["user_id"], ["purchase_id"]).select("event_id", "purchase_id")
 
 
-@query("SELECT n_name, s_name FROM (SELECT row_number() OVER (ORDER BY n_name) AS i, n_name FROM nation) a FULL JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_name FROM supplier) b USING (i)")
+@query("SELECT a.l_orderkey, a.l_linenumber, a.l_extendedprice, a.l_shipdate, b.o_orderkey, b.o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem) a FULL JOIN (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders) b USING (i)")
 def join_positional(t):
-    return R.positional_join(t.nation.select("n_name"), t.supplier.select("s_suppkey", "s_name"), ["n_name"], ["s_suppkey"]).select("n_name", "s_name")
+    out = R.positional_join(t.lineitem, t.orders, ["l_shipdate", "l_orderkey", "l_linenumber"], ["o_totalprice", "o_orderkey"])
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "o_orderkey", "o_totalprice")
 
 
 sql("join_apply", "SELECT n_name, o.c_custkey FROM {nation} LEFT JOIN LATERAL (SELECT min(c_custkey) AS c_custkey FROM {customer} WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) o ON true", "SELECT n_name, o.c_custkey FROM nation LEFT JOIN LATERAL (SELECT min(c_custkey) AS c_custkey FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) o ON true")
@@ -216,16 +217,53 @@ sql("bit_aggregates", "SELECT l_returnflag, bit_or(l_linenumber) AS o, bit_xor(l
 sql("regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, regr_count(l_extendedprice, l_quantity) AS n FROM {lineitem} GROUP BY l_returnflag")
 
 
-@query("SELECT abs(approx - exact) <= 0.1 * exact AS close FROM (SELECT count(DISTINCT l_partkey) AS exact, count(DISTINCT l_partkey) AS approx FROM lineitem)")
+# sketches estimate: each row has the true number, and whether the estimate is within the sketch's error of it
+_COUNTS = "SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem GROUP BY 1, 2"
+
+
+def _within(estimate, exact, error: float):
+    return (F.abs(estimate - exact) <= F.greatest(F.lit(1.0), error * exact)).alias("within")
+
+
+@query(_COUNTS)
 def approx_count_distinct(t):
-    return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("e")).select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    out = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("exact"))
+    return out.select("l_returnflag", "l_linestatus", "exact", _within(F.col("a"), F.col("exact"), 0.08))
 
 
-@query("SELECT count(DISTINCT l_partkey) > 0 AS close FROM lineitem")
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem GROUP BY 1")
 def hll_sketch_merge(t):
-    parts = t.lineitem.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey").alias("s"))
-    merged = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("a")).join(t.lineitem.agg(F.count_distinct("l_partkey").alias("e")))
-    return merged.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    parts = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.hll_sketch_agg("l_partkey", 14).alias("s"))
+    merged = parts.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("a"))
+    exact = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    return merged.join(exact, "l_returnflag").select("l_returnflag", "exact", _within(F.col("a"), F.col("exact"), 0.05))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem GROUP BY 1")
+def theta_sketch_merge(t):
+    parts = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.theta_sketch_agg("l_partkey", 14).alias("s"))
+    merged = parts.groupBy("l_returnflag").agg(F.theta_sketch_estimate(F.theta_union_agg("s")).alias("a"))
+    exact = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    return merged.join(exact, "l_returnflag").select("l_returnflag", "exact", _within(F.col("a"), F.col("exact"), 0.05))
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS within FROM lineitem GROUP BY 1")
+def approx_percentile(t):
+    """The median's estimate holds half of the rows, give or take the accuracy."""
+    mid = t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("m"))
+    rows = t.lineitem.join(F.broadcast(mid), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_extendedprice") <= F.col("m")).alias("k"))
+    return rows.select("l_returnflag", "n", (F.abs(F.col("k") / F.col("n") - 0.5) <= 0.01).alias("within"))
+
+
+@query("SELECT l_returnflag, l_suppkey, count(*) AS exact, true AS within FROM lineitem WHERE l_suppkey < 5 GROUP BY 1, 2")
+def count_min(t):
+    """A count-min sketch never counts too few, and at most 1 percent of all rows too many."""
+    from metaspan.operators.relational import count_min_estimate
+
+    s = t.lineitem.groupBy("l_returnflag").agg(F.count_min_sketch("l_suppkey", F.lit(0.01), F.lit(0.99), F.lit(7)).alias("s"), F.count("*").alias("all"))
+    exact = t.lineitem.filter("l_suppkey < 5").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("exact"))
+    out = exact.join(s, "l_returnflag").withColumn("a", count_min_estimate(F.col("s"), F.col("l_suppkey")))
+    return out.select("l_returnflag", "l_suppkey", "exact", ((F.col("a") >= F.col("exact")) & (F.col("a") <= F.col("exact") + 0.01 * F.col("all"))).alias("within"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
@@ -290,9 +328,9 @@ def top_with_ties(t):
     return R.top_with_ties(t.part, 10, "-p_size").select("p_partkey", "p_size")
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) WHERE i <= ceil(n * 0.05)")
+@query("SELECT * EXCLUDE (i, n) FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS i, count(*) OVER () AS n FROM lineitem) WHERE i <= ceil(n * 0.9)")
 def top_percent(t):
-    return R.top_percent(t.orders.select("o_orderkey"), 5, "o_orderkey")
+    return R.top_percent(t.lineitem, 90, "l_extendedprice", "l_orderkey", "l_linenumber")
 
 
 sql("top_k_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM {customer}) WHERE k <= 3")

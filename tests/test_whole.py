@@ -6,15 +6,13 @@ import re
 import unicodedata
 
 import duckdb
-import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from metaspan.llm import embedding_dedup as E
-from metaspan.llm import license_scan, url_filter
 from metaspan.operators import graph as G
 from metaspan.operators import meta as M
+from metaspan.operators import relational as R
 from metaspan.plans import facts as P
 from metaspan.queries import ORACLES, QUERIES
 
@@ -47,7 +45,7 @@ def test_cosine_pairs_are_exact_for_frequent_terms(spark):
         assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("name", ["blocked_pairs_all", "tfidf_weights_all", "cosine_pairs_all", "primary_and_alternative_all", "mutual_top_k_all", "weighted_jaccard_all"])
+@pytest.mark.parametrize("name", ["blocked_pairs", "tfidf_weights", "cosine_pairs", "primary_and_alternative", "mutual_top_k", "weighted_jaccard"])
 def test_similarity_at_larger_scale(spark, large, name):
     got = QUERIES[name](spark, LARGE)
     value = next((c for c in ("cosine", "score", "weight") if c in got.columns), "1")
@@ -56,7 +54,7 @@ def test_similarity_at_larger_scale(spark, large, name):
     assert n == want > 0 and math.isclose(total, all_, rel_tol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["connected_groups_all", "complete_link_clusters_all"])
+@pytest.mark.parametrize("name", ["connected_groups", "complete_link_clusters"])
 def test_groups_at_larger_scale(spark, name):
     assert QUERIES[name](spark, LARGE).count() > 0
 
@@ -107,102 +105,65 @@ def test_reach_over_all_orders(spark, sf):
             step = {y for x in wave for y in out.get(x, ()) if (seed, y) not in want}
             want |= {(seed, y): want[seed, wave[0]] + 1 for y in step}
             wave = list(step)
-    assert {(r.seed, r.node): r.hop for r in QUERIES["reach_hops_all"](spark, sf).collect()} == want
-
-
-@pytest.mark.parametrize("name, value", [("degrees", "n_in + n_out"), ("import_validation", "key")])
-def test_all_rows_count(spark, large, name, value):
-    rows = lambda n: QUERIES[n](spark, LARGE).selectExpr("count(*)", f"sum({value})").first()
-    whole = rows(f"{name}_all")
-    assert tuple(whole) == large.execute(f"select count(*), sum({value}) from ({ORACLES[name + '_all']})").fetchone()
-    assert whole[0] > rows(name)[0]
-
-
-def test_host_verdicts_do_not_depend_on_the_size_of_the_table(spark):
-    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
-
-    def verdicts(copies):
-        # bad is blocked; u links to it; v links to good, which is allowed, and to bad; w links to nobody
-        one = [("bad{}.x", "/no/1", ""), ("good{}.x", "/yes/1", link("v{}.x")), ("u{}.x", "/a", link("bad{}.x")), ("v{}.x", "/a", link("good{}.x", "bad{}.x")), ("w{}.x", "/a", "")]
-        rows = [(i * 5 + k, f"http://{h.format(i)}{path}", html.replace("{}", str(i))) for i in range(copies) for k, (h, path, html) in enumerate(one)]
-        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-        rules = url_filter.rules_frame(spark, [("block", "x", "/no/"), ("allow", "x", "/yes/")])
-        out = url_filter.judge_urls(pages, rules).groupBy(F.expr("page_id % 5").alias("k"), "verdict").count()
-        return {(r.k, r.verdict): r["count"] / copies for r in out.collect()}
-
-    small = verdicts(1)
-    assert small[2, "block"] == 1 and small[4, "allow"] == 1
-    assert verdicts(10_000) == small
-
-
-class Blind:
-    """A graph whose search finds each point itself and nothing else."""
-
-    def __init__(self, own):
-        self.own, self.links = own, [np.full((len(own), 4), -1, np.int32)]
-
-    def search(self, queries, ef):
-        return np.argmax(queries @ self.own.T.astype(np.float32), axis=1)[:, None], None
-
-
-@pytest.mark.parametrize("copies", [2, 20])
-def test_links_that_a_graph_misses_are_found(copies):
-    rng = np.random.default_rng(1)
-    x = np.repeat(rng.normal(size=(800 // copies, 48)), copies, 0) + rng.normal(size=(800, 48)) * 0.05
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    want = x @ x.T >= 0.93
-    np.fill_diagonal(want, False)
-    got = E._query(Blind(x), x, x, 0.93, 256, True)
-    np.fill_diagonal(got, False)
-    assert want.sum() and (got == want).all()
-
-
-def test_links_over_several_shards(spark):
-    rng = np.random.default_rng(2)
-    x = np.repeat(rng.normal(size=(300, 32)), 3, 0) + rng.normal(size=(900, 32)) * 0.12
-    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    want = unit @ unit.T >= 0.93
-    np.fill_diagonal(want, False)
-    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
-    got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cap=200).collect()}
-    assert sum(got.values()) >= 0.98 * want.sum() > 0 and all(got[i] <= want[i].sum() for i in got)
-
-
-APACHE = """/*
- * Licensed under the Apache License, Version 2.0 (the "License");
- * you may not use this file except in compliance with the License.
- * You may obtain a copy of the License at
- *
- *     http://www.apache.org/licenses/LICENSE-2.0
- *
- * Unless required by applicable law or agreed to in writing, software
- * distributed under the License is distributed on an "AS IS" BASIS.
- */"""
-MIT = """Copyright (c) 2020 Some Body
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
-BSD = """Copyright (c) 2020, Some Body
-All rights reserved.
-
-Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice."""
-GPL = """# This program is free software: you can redistribute it and/or modify
-# it under the terms of the GNU General Public License as published by
-# the Free Software Foundation, either version {} of the License, or
-# (at your option) any later version."""
-
-
-def test_wrapped_licence_headers(spark):
-    texts = [APACHE, MIT, BSD, GPL.format(3), GPL.format(2), "This is not\nlicensed under the MIT license\nat all", "not licensed\nunder the MIT license at all"]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
-    assert got[0].licenses == ["Apache-2.0 with notice", "Apache-2.0"] and got[1].sentence_ids == ["mit-grant", "mit-warranty"]
-    assert [got[i].license for i in range(5)] == ["Apache-2.0 with notice", "MIT", "BSD", "GPL-3.0-or-later", "GPL-2.0-or-later"]
-    assert got[5].sentence_ids == ["mit-licensed"] and got[6].license is None  # a line by itself counts, as in the SQL
-    assert license_scan.scan(spark.createDataFrame([(1, None)], "doc_id int, text string")).first().n_known == 0
+    assert {(r.seed, r.node): r.hop for r in QUERIES["reach_hops"](spark, sf).collect()} == want
+
+
+def test_degrees_of_all_rows(spark, large):
+    whole = QUERIES["degrees"](spark, LARGE).selectExpr("count(*)", "sum(n_in + n_out)").first()
+    assert tuple(whole) == large.execute(f"select count(*), sum(n_in + n_out) from ({ORACLES['degrees']})").fetchone()
+
+
+@pytest.mark.parametrize("adaptive, advisory", [("false", "64MB"), ("true", "1MB"), ("true", "4MB"), ("true", "64MB")])
+def test_numbers_of_many_rows(spark, adaptive, advisory):
+    """Every row keeps its columns and has its number in the order, however the shuffle is cut."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = spark.read.parquet(f"{LARGE}/lineitem.parquet")
+        order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+        got = R.numbered(rows, order).toPandas()
+        want = rows.toPandas().sort_values(order, ignore_index=True)
+        assert len(got) == len(want) == 600_000
+        got = got.sort_values("_row", ignore_index=True)
+        assert (got["_row"] == range(len(got))).all() and got.drop(columns="_row").equals(want[[c for c in got.columns if c != "_row"]])
+        assert R.top_percent(rows, 90, *order).count() == 540_000
+        keys = rows.select(*[F.col(c).alias(f"k_{c}") for c in order])
+        both = R.positional_join(rows, keys, order, [f"k_{c}" for c in order])
+        assert both.filter(" and ".join(f"{c} = k_{c}" for c in order)).count() == both.count() == 600_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_communities(spark):
+    """Cliques on a ring are communities, each connected, and modularity is that of the partition."""
+    n, k = 8, 6
+    rows = [(c * k + i, c * k + j, 1.0) for c in range(n) for i in range(k) for j in range(i)] + [(c * k, (c + 1) % n * k + 1, 1.0) for c in range(n)]
+    edges = spark.createDataFrame(rows, "a int, b int, w double")
+    named = G.communities(edges)
+    got = {r.node: r.community for r in named.collect()}
+    groups = {}
+    for x, c in got.items():
+        groups.setdefault(c, set()).add(x)
+    assert set(got) == set(range(n * k)) and all(min(g) == c for c, g in groups.items())
+    assert all(len({got[c * k + i] for i in range(k)}) == 1 for c in range(n))
+    m2 = 2 * len(rows)
+    degree = {}
+    for a, b, _ in rows:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    q = sum(2 * sum(1 for a, b, _ in rows if a in g and b in g) / m2 - (sum(degree[x] for x in g) / m2) ** 2 for g in groups.values())
+    assert G.modularity(edges, named).first().q == pytest.approx(q) and q > 0.6
+
+
+def test_plan_facts_of_a_table(spark, tmp_path):
+    tasks = {f"k{i}": f"SELECT a + {i % 7} AS c FROM t; SELECT b FROM t WHERE a > {i % 3}" for i in range(40)}
+    catalog = {"t": ["a", "b"]}
+    table = spark.createDataFrame(list(tasks.items()), "task_id string, sql string")
+    one, many = P.plan_facts(spark, tasks, catalog), P.write_plan_facts(spark, table, str(tmp_path / "facts"), catalog)
+    for name in ("column_lineage", "dataset_io"):
+        plain = lambda df: sorted(tuple(r) for r in df.drop("statement_id").collect())
+        assert plain(many[name]) == plain(one[name])
+    assert many["statements"].select("statement_id").distinct().count() == 80
+    assert all(df.isEmpty() for df in P.validate(many).values())
