@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,3 +108,37 @@ def translate(name: str, *args) -> Column:
     """A dialect's call as a Spark expression: by MAPPING, else the Spark function of that name; unknown names raise."""
     key = name.lower()
     return MAPPING[key](*args) if key in MAPPING else F.call_function(key, *args)
+
+
+@dataclass(frozen=True)
+class Behaviour:
+    """How a dialect divides whole numbers, and where nulls stand in ascending order by default."""
+
+    division: str  # float, integer or decimal
+    nulls: str  # first or last
+
+
+#: Dialect -> behaviour.
+BEHAVIOUR = {
+    "databricks": Behaviour("float", "first"), "tsql": Behaviour("integer", "first"), "snowflake": Behaviour("decimal", "last"), "bigquery": Behaviour("float", "first"), "redshift": Behaviour("integer", "last"),
+    "postgres": Behaviour("integer", "last"), "duckdb": Behaviour("float", "last"), "trino": Behaviour("integer", "last"), "sqlite": Behaviour("integer", "first"), "mysql": Behaviour("decimal", "first"),
+}
+
+
+def divide(dialect: str, a: Column, b: Column) -> Column:
+    """a / b of whole numbers as the dialect divides them; null for a division by zero."""
+    kind = BEHAVIOUR[dialect].division
+    if kind == "integer":
+        return integer_divide(a, b).cast("double")
+    quotient = F.when(b != 0, a / b)
+    return F.round(quotient, 4 if dialect == "mysql" else 6) if kind == "decimal" else quotient
+
+
+def ascending(dialect: str, x: Column) -> Column:
+    """x in the dialect's default ascending order."""
+    return x.asc_nulls_first() if BEHAVIOUR[dialect].nulls == "first" else x.asc_nulls_last()
+
+
+def sqlite_quote(text: Column) -> Column:
+    """A text as an SQL literal; null is NULL."""
+    return F.coalesce(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))

@@ -71,3 +71,30 @@ def dialect_times(t):
 def dialect_lists(t):
     k = F.col("n_nationkey").cast("bigint")
     return t.nation.select("n_nationkey", D.generate_series(k, F.lit(20).cast("bigint"), F.lit(5).cast("bigint")).alias("g"), D.list_contains_all(F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 3)], k), F.array(F.lit(2).cast("bigint"), k)).alias("h"))
+
+
+sql("fn_binary", "SELECT p_partkey, hex(unhex(hex(p_name))) AS h, base64(encode(p_name, 'UTF-8')) AS b, decode(unbase64(base64(CAST(p_type AS BINARY))), 'UTF-8') AS u, octet_length(to_binary(p_brand, 'UTF-8')) AS n FROM {part}", "SELECT p_partkey, hex(p_name) AS h, to_base64(encode(p_name)) AS b, p_type AS u, CAST(strlen(p_brand) AS INTEGER) AS n FROM part")
+sql("fn_intervals", "SELECT o_orderkey, o_orderdate + make_interval(0, 1, 0, CAST(o_orderkey % 9 AS INT)) AS a, o_orderdate - make_dt_interval(1, 2, 3, 4) AS d, o_orderdate + make_ym_interval(1, 2) AS y, CAST(extract(DAYS FROM make_dt_interval(3, 30)) AS INT) AS e FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH + to_days(CAST(o_orderkey % 9 AS INTEGER)) AS TIMESTAMP) AS a, CAST(o_orderdate - INTERVAL '1 day 02:03:04' AS TIMESTAMP) AS d, CAST(o_orderdate + INTERVAL 14 MONTH AS TIMESTAMP) AS y, 4 AS e FROM orders")
+sql("fn_crypto", "SELECT p_partkey, sha1(p_name) AS s, CAST(aes_decrypt(aes_encrypt(p_name, '0000111122223333'), '0000111122223333') AS STRING) AS a, crc32(p_name) = crc32(concat(p_name, '')) AS c, CAST(try_aes_decrypt(unhex('00'), '0000111122223333') AS STRING) AS t FROM {part}", "SELECT p_partkey, sha1(p_name) AS s, p_name AS a, true AS c, CAST(NULL AS VARCHAR) AS t FROM part")
+sql("fn_session", "SELECT current_user() = user() AS u, length(uuid()) AS n, typeof(current_database()) AS d, current_catalog() IS NOT NULL AS c, version() IS NOT NULL AS v, current_timezone() AS z", "SELECT true AS u, 36 AS n, 'string' AS d, true AS c, true AS v, 'UTC' AS z")
+sql("fn_bitmap", "SELECT l_returnflag, sum(c) AS n FROM (SELECT l_returnflag, bitmap_bucket_number(l_partkey) AS b, bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_partkey))) AS c FROM {lineitem} GROUP BY 1, 2) GROUP BY l_returnflag", "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+sql("fn_csv_xml", "SELECT p_partkey, from_csv(concat(p_partkey, ',', p_name), 'k INT, n STRING').n AS c, to_csv(named_struct('a', p_partkey, 'b', p_name)) AS t, xpath_string(concat('<p><n>', p_name, '</n></p>'), 'p/n') AS x FROM {part}", "SELECT p_partkey, p_name AS c, p_partkey || ',' || p_name AS t, p_name AS x FROM part")
+sql("fn_histogram", "SELECT l_returnflag, CAST(aggregate(h, 0D, (a, x) -> a + x.y) AS BIGINT) AS n, size(h) AS bins FROM (SELECT l_returnflag, histogram_numeric(l_quantity, 5) AS h FROM {lineitem} GROUP BY 1)", "SELECT l_returnflag, count(*) AS n, 5 AS bins FROM lineitem GROUP BY 1")
+sql("fn_misc", "SELECT p_partkey, typeof(p_size) AS t, luhn_check(concat('7992739871', p_size % 10)) AS l, equal_null(nullif(p_size, 7), NULL) AS q, elt(1 + p_size % 2, p_name, p_type) AS e, width_bucket(p_size, 0, 50, 5) AS w, nvl(nullif(p_size, 3), -1) AS v FROM {part}", "SELECT p_partkey, 'int' AS t, p_size % 10 = 3 AS l, p_size = 7 AS q, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS e, CASE WHEN p_size >= 50 THEN 6 ELSE p_size // 10 + 1 END AS w, CASE WHEN p_size = 3 THEN -1 ELSE p_size END AS v FROM part")
+sql("fn_timestamps", "SELECT event_id, CAST(to_timestamp_ntz(date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS STRING) AS s, CAST(make_timestamp_ntz(year(ts), month(ts), 1, 0, 0, 0) AS STRING) AS m, unix_timestamp(CAST(ts AS TIMESTAMP)) AS u, CAST(CAST(timestamp_seconds(unix_timestamp(CAST(ts AS TIMESTAMP))) AS TIMESTAMP_NTZ) AS STRING) AS b, CAST(date_part('SECOND', date_trunc('SECOND', ts)) AS INT) AS p FROM {events}", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S') AS m, CAST(floor(epoch(ts)) AS BIGINT) AS u, strftime(ts, '%Y-%m-%d %H:%M:%S') AS b, CAST(second(ts) AS INTEGER) AS p FROM events")
+sql("fn_regression", "SELECT l_returnflag, round(regr_intercept(l_extendedprice, l_quantity), 3) AS i, round(regr_r2(l_extendedprice, l_quantity), 6) AS r, round(regr_avgx(l_extendedprice, l_quantity), 6) AS x FROM {lineitem} GROUP BY 1")
+
+
+@query("SELECT n_nationkey, CAST(d AS VARCHAR) AS dialect, CASE WHEN d IN ('tsql', 'redshift', 'postgres', 'trino', 'sqlite') THEN CAST((n_nationkey * 7) // 4 AS DOUBLE) WHEN d = 'mysql' THEN round(n_nationkey * 7 / 4, 4) WHEN d = 'snowflake' THEN round(n_nationkey * 7 / 4, 6) ELSE n_nationkey * 7 / 4 END AS q, d IN ('databricks', 'tsql', 'bigquery', 'sqlite', 'mysql') AS nulls_first FROM nation, (VALUES ('databricks'), ('tsql'), ('snowflake'), ('bigquery'), ('redshift'), ('postgres'), ('duckdb'), ('trino'), ('sqlite'), ('mysql')) v(d)")
+def dialect_behaviour(t):
+    rows = None
+    for d, b in D.BEHAVIOUR.items():
+        one = t.nation.select("n_nationkey", F.lit(d).alias("dialect"), D.divide(d, F.col("n_nationkey") * 7, F.lit(4)).alias("q"), F.lit(b.nulls == "first").alias("nulls_first"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("SELECT p_partkey, chr(39) || replace(p_name || CASE WHEN p_size % 2 = 0 THEN chr(39) || 's' ELSE '' END, chr(39), chr(39) || chr(39)) || chr(39) AS q, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS i, printf('%05d|%s', p_partkey, p_name) AS f FROM part")
+def dialect_sqlite(t):
+    name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "'s").otherwise(""))
+    return t.part.select("p_partkey", D.sqlite_quote(name).alias("q"), D.iff(F.col("p_size") > 25, F.lit("big"), F.lit("small")).alias("i"), F.format_string("%05d|%s", "p_partkey", "p_name").alias("f"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,55 @@ SCHEMAS = {
 }
 
 
-def read_json_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The seven fact tables from `<folder>/<name>.json` (a list each); a missing file or a broken row is an error."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder in the cluster's shared one (spark.checkpoint.dir); where none is set, one of this machine for a
+    session that runs on this machine alone. It goes when the driver's JVM ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/metaspan-facts"
+    path = f"{found.rstrip('/')}/facts-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def write_json_facts(frames: dict[str, DataFrame], folder: str) -> None:
+    """`<folder>/<name>.json` for each table, one object a line."""
+    for name, df in frames.items():
+        replace_atomically(df, f"{folder}/{name}.json")
+
+
+def load_config(text: str) -> dict:
+    """A YAML mapping; anything else is an error."""
+    import yaml
+
+    found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError("a configuration must be a mapping")
+    return found
+
+
+def export(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """`|> EXPORT DATA`: writes the rows and passes on what was written; a path that is there is an error."""
+    df.write.format(fmt).options(**options).mode("errorifexists").save(path)
+    return df.sparkSession.read.format(fmt).options(**options).schema(df.schema).load(path)
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """`|> INSERT`: appends to a Parquet table by column name and passes on the whole table."""
+    have = df.sparkSession.read.parquet(path).schema
+    df.select(*have.names).write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(have).parquet(path)
+
+
+def read_json_facts(spark: SparkSession, folder: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The seven fact tables from `<folder>/<name>.json` (a list each, or with `lines` an object a line); a missing file or a
+    broken row is an error."""
+    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
     return {name: reader.schema(schema).json(f"{folder}/{name}.json") for name, schema in SCHEMAS.items()}
 
 
