@@ -100,10 +100,16 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
     return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Objects that structural_similarity compares all with all.
+MAX_COMPARED = 20_000
+
+
 def structural_similarity(features: DataFrame) -> DataFrame:
     """(a, b, score) for all a < b of a small table features(asset, names, columns, keys, neighbours):
     0.25 names + 0.5 columns + 0.2 keys + 0.05 neighbours, each a Jaccard similarity, two empty sets being equal.
     """
+    if features.limit(MAX_COMPARED + 1).count() > MAX_COMPARED:
+        raise ValueError(f"more than {MAX_COMPARED} objects: compare those that blocked_pairs brings together")
     right = features.select([F.col(c).alias(f"{c}_b") for c in features.columns])
     weights = {"names": 0.25, "columns": 0.5, "keys": 0.2, "neighbours": 0.05}
     score = sum(jaccard(F.col(c), F.col(f"{c}_b"), 1.0) * w for c, w in weights.items())
@@ -142,27 +148,29 @@ def outcome(candidates: DataFrame, key: Sequence[str], score: str, threshold: fl
 def propagate_labels(edges: DataFrame, seeds: DataFrame, alpha: float, tolerance: float, rounds: int) -> DataFrame:
     """(node, label, score, rounds): max(init, (1 - alpha) init + alpha * weighted mean of neighbours), at most 1.
 
-    edges(a, b, w) are undirected. All labels move together; a label whose largest change falls below the tolerance
-    freezes. Each round is one join and one pre-aggregated sum; lineage is cut by checkpoint.
+    edges(a, b, w) are undirected, seeds(node, label, score). All labels move together; a label whose largest change falls
+    below the tolerance freezes. Only what a label has reached has a row: where there is none the score is 0, so labels cost
+    what they reach, not a row per node. Each round is a join and a pre-aggregated sum; lineage is cut by checkpoint.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "w"))
-    degree = both.groupBy("node").agg(F.sum("w").alias("degree"))
-    nodes = both.select("node").union(seeds.select("node")).distinct()
-    state = nodes.crossJoin(F.broadcast(seeds.select("label").distinct())).join(seeds, ["node", "label"], "left").fillna(0.0, ["score"])
-    state = state.withColumn("init", F.col("score")).withColumn("live", F.lit(True)).withColumn("rounds", F.lit(0))
-    for _ in range(rounds):
-        near = both.join(state.select(F.col("node").alias("other"), "label", "score").filter("score > 0"), "other")
-        near = near.groupBy("node", "label").agg(F.sum(F.col("w") * F.col("score")).alias("near"))
-        moved = state.join(near, ["node", "label"], "left").join(degree, "node", "left")
-        mean = F.coalesce(F.col("near") / F.col("degree"), F.lit(0.0))
-        new = F.least(F.lit(1.0), F.greatest(F.col("init"), (1 - alpha) * F.col("init") + alpha * mean))
-        moved = moved.withColumn("new", F.when(F.col("live"), new).otherwise(F.col("score")))
-        still = moved.groupBy("label").agg((F.max(F.abs(F.col("new") - F.col("score"))) >= tolerance).alias("still"))
-        state = moved.join(F.broadcast(still), "label").select("node", "label", F.col("new").alias("score"), "init", (F.col("live") & F.col("still")).alias("live"), (F.col("rounds") + F.col("live").cast("int")).alias("rounds"))
-        state = cut(state)
-        if state.filter("live").isEmpty():
-            break
-    return state.select("node", "label", "score", "rounds")
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "w")))
+    degree = cut(both.groupBy("node").agg(F.sum("w").alias("degree")))
+    init = cut(seeds.filter("score > 0").groupBy("node", "label").agg(F.max("score").alias("init")))
+    live, done = init.select("node", "label", F.col("init").alias("score")), None
+    for r in range(1, rounds + 1):
+        near = both.join(live.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum(F.col("w") * F.col("score")).alias("near"))
+        own = init.join(live.select("label").distinct(), "label", "left_semi")
+        rows = near.join(own, ["node", "label"], "full").join(degree, "node", "left").join(live.withColumnRenamed("score", "old"), ["node", "label"], "left")
+        mean, start = F.coalesce(F.col("near") / F.col("degree"), F.lit(0.0)), F.coalesce("init", F.lit(0.0))
+        new = F.least(F.lit(1.0), F.greatest(start, (1 - alpha) * start + alpha * mean))
+        rows = cut(rows.select("node", "label", new.alias("score"), F.abs(new - F.coalesce("old", F.lit(0.0))).alias("change")))
+        moving = rows.groupBy("label").agg(F.max("change").alias("most")).filter(F.col("most") >= tolerance).select("label")
+        stay = rows.join(moving, "label", "left_anti").select("node", "label", "score", F.lit(r).alias("rounds"))
+        done = stay if done is None else done.unionByName(stay)
+        live = rows.join(moving, "label", "left_semi").select("node", "label", "score")
+        if live.isEmpty():
+            return done
+    rest = live.withColumn("rounds", F.lit(rounds))
+    return rest if done is None else done.unionByName(rest)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -185,11 +185,13 @@ def outcome_status(t):
     return M.outcome(c, ["o_custkey"], "score", 0.3, 0.15)
 
 
-@query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation UNION SELECT (n_nationkey + 1) % 25, n_nationkey FROM nation), l(i, node, s) AS (SELECT 0, n_nationkey, CASE WHEN n_nationkey % 8 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM nation UNION ALL SELECT l.i + 1, l.node, least(1.0, greatest(CASE WHEN l.node % 8 = 0 THEN 1.0 ELSE 0.0 END, 0.2 * CASE WHEN l.node % 8 = 0 THEN 1.0 ELSE 0.0 END + 0.8 * (p.s + q.s) / 2)) FROM l JOIN l p ON p.node = (l.node + 1) % 25 JOIN l q ON q.node = (l.node + 24) % 25 WHERE l.i < 4) SELECT CAST(node AS INTEGER) AS node, round(s, 7) AS score FROM l WHERE i = 4")
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey + 1) % (SELECT count(*) FROM part) AS b FROM part), l(i, node, s) AS (SELECT 0, p_partkey, CASE WHEN p_partkey % 8 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM part UNION ALL SELECT l.i + 1, l.node, least(1.0, greatest(CASE WHEN l.node % 8 = 0 THEN 1.0 ELSE 0.0 END, 0.2 * CASE WHEN l.node % 8 = 0 THEN 1.0 ELSE 0.0 END + 0.8 * (p.s + q.s) / 2)) FROM l JOIN e f ON f.a = l.node JOIN l p ON p.node = f.b JOIN e g ON g.b = l.node JOIN l q ON q.node = g.a WHERE l.i < 6) SELECT node, round(s, 7) AS score FROM l WHERE i = 6")
 def propagate_labels(t):
-    ring = t.nation.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") + 1) % 25).alias("b"), F.lit(1.0).alias("w"))
-    seeds = t.nation.filter("n_nationkey % 8 = 0").select(F.col("n_nationkey").alias("node"), F.lit("x").alias("label"), F.lit(1.0).alias("score"))
-    return M.propagate_labels(ring, seeds, 0.8, 1e-9, 4).select("node", F.round("score", 7).alias("score"))
+    """Parts on a ring, every eighth a seed."""
+    n = t.part.count()
+    ring = t.part.select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") + 1) % n).alias("b"), F.lit(1.0).alias("w"))
+    seeds = t.part.filter("p_partkey % 8 = 0").select(F.col("p_partkey").alias("node"), F.lit("x").alias("label"), F.lit(1.0).alias("score"))
+    return M.propagate_labels(ring, seeds, 0.8, 1e-9, 6).select("node", F.round("score", 7).alias("score"))
 
 
 FK = "SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS n_null, count(k) AS n_keys, CAST(coalesce(sum(n) FILTER (WHERE k IS NOT NULL AND m IS NULL), 0) AS BIGINT) AS n_unmatched, max(n) AS most, (SELECT max(m) = 1 FROM p) AS parent_unique, (SELECT max(m) = 1 FROM p) AND coalesce(sum(n) FILTER (WHERE k IS NOT NULL AND m IS NULL), 0) = 0 AS eligible FROM c LEFT JOIN p USING (k)"
