@@ -197,3 +197,16 @@ def test_pipeline(spark, sf):
     for frame in (odd, odd.limit(0)):
         for _, stage in pipe.STAGES:
             frame = pipe.written(stage(spark, frame, sf), "test")
+
+
+def test_pipeline_keeps_unlike_texts_that_share_an_id(spark, sf):
+    import corpus_pipeline as pipe
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (None, b + " x"), (None, "quite another text of its own, with words"), (4, ""), (4, None), (5, "short one")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipe.near_copies(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = sorted((repr(r.doc_id), r.text) for r in out.collect() if r.text)
+    assert got == sorted([("1", a), ("1", b), ("None", rows[5][1]), ("5", "short one")])
+    assert out.filter("doc_id = 4").count() == 2
