@@ -85,12 +85,12 @@ def variants(text: str, most: int = 64) -> list[str]:
 
 
 def register(spark: SparkSession) -> None:
-    """Functions under their names: gfgreatest(a, b), the greater of two numbers, nulls aside; and the table function
+    """Functions under their names: greater_of(a, b), the greater of two numbers, nulls aside; and the table function
     split_words(text), a row (place, word) per word."""
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("double")
-    def gfgreatest(a, b):
+    def greater_of(a, b):
         import pandas as pd
 
         return pd.concat([a.astype("float64"), b.astype("float64")], axis=1).max(axis=1)
@@ -100,7 +100,7 @@ def register(spark: SparkSession) -> None:
             for i, w in enumerate((text or "").split()):
                 yield i, w
 
-    spark.udf.register("gfgreatest", gfgreatest)
+    spark.udf.register("greater_of", greater_of)
     spark.udtf.register("split_words", udtf(Words, returnType="place int, word string"))
 
 

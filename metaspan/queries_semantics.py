@@ -407,10 +407,10 @@ def unique_id_resolution(t):
 
 @query(values("guid, name, scope, sources, upstream, assets, tasks", ("g1", "Alpha", "ALREADY_AT_GATE", "dpl|odata", "u1|u2", "dw.alpha|x.ALPHA", "t1|t2"), ("g2", "beta", "OTHER_GATE", "odata", "u3", "", ""), ("g3", "gamma", "DB_UNKNOWN", "", "", "dw.gamma", "t3"), ("g4", "delta", "CONTINUE", "", "", "", "")))
 def seed_scope(t):
-    seeds = small(t, "guid string, name string, db string", ("g1", "Alpha", "DM_OTC"), ("g2", "beta", "dm_other"), ("g3", "gamma", None), ("g4", "delta", "stg"))
+    seeds = small(t, "guid string, name string, db string", ("g1", "Alpha", "DM_TOP"), ("g2", "beta", "dm_other"), ("g3", "gamma", None), ("g4", "delta", "stg"))
     relations = small(t, "guid string, source string, upstream string", ("g1", "odata", "u2"), ("g1", "dpl", "u1"), ("g1", "odata", "u1"), ("g2", "odata", "u3"), ("g2", "odata", ""))
     io = small(t, "task_id string, direction string, dataset string", ("t1", "WRITE", "dw.alpha"), ("t2", "WRITE", "x.ALPHA"), ("t2", "WRITE", "dw.alpha"), ("t3", "WRITE", "dw.gamma"), ("t4", "READ", "dw.delta"))
-    return S.seed_scope(seeds, relations, io, "dm_otc")
+    return S.seed_scope(seeds, relations, io, "dm_top")
 
 
 @query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE o_orderpriority END AS h FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, o_orderpriority AS h FROM orders WHERE o_orderkey % 5 <> 0), d AS (SELECT k FROM a WHERE k % 17 = 0) SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS task_id, CASE WHEN a.k IN (SELECT k FROM d) THEN 'DUPLICATE' WHEN b.k IS NULL THEN 'ADD' WHEN a.k IS NULL THEN 'KEEP' WHEN a.h = b.h THEN 'REPLACE' ELSE 'CONFLICT' END AS action, coalesce(a.h, b.h) AS sha256 FROM a FULL JOIN b ON a.k = b.k")

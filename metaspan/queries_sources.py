@@ -116,7 +116,7 @@ def udtf_call(t):
 @query("SELECT o_orderkey, greatest(CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS DOUBLE), o_totalprice / 100) AS g FROM orders")
 def registered_udf(t):
     X.register(t.spark)
-    return t.spark.sql("SELECT o_orderkey, gfgreatest(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END, o_totalprice / 100) AS g FROM {orders}", orders=t.orders)
+    return t.spark.sql("SELECT o_orderkey, greater_of(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END, o_totalprice / 100) AS g FROM {orders}", orders=t.orders)
 
 
 @query(f"WITH {_EDGES} SELECT a.src AS n0, a.dst AS n1, b.dst AS n2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src IN ('s1', 's3') AND b.dst LIKE 'o%'")
