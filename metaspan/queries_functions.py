@@ -76,7 +76,7 @@ def dialect_lists(t):
 sql("fn_binary", "SELECT p_partkey, hex(unhex(hex(p_name))) AS h, base64(encode(p_name, 'UTF-8')) AS b, decode(unbase64(base64(CAST(p_type AS BINARY))), 'UTF-8') AS u, octet_length(to_binary(p_brand, 'UTF-8')) AS n FROM {part}", "SELECT p_partkey, hex(p_name) AS h, to_base64(encode(p_name)) AS b, p_type AS u, CAST(strlen(p_brand) AS INTEGER) AS n FROM part")
 sql("fn_intervals", "SELECT o_orderkey, o_orderdate + make_interval(0, 1, 0, CAST(o_orderkey % 9 AS INT)) AS a, o_orderdate - make_dt_interval(1, 2, 3, 4) AS d, o_orderdate + make_ym_interval(1, 2) AS y, CAST(extract(DAYS FROM make_dt_interval(3, 30)) AS INT) AS e FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH + to_days(CAST(o_orderkey % 9 AS INTEGER)) AS TIMESTAMP) AS a, CAST(o_orderdate - INTERVAL '1 day 02:03:04' AS TIMESTAMP) AS d, CAST(o_orderdate + INTERVAL 14 MONTH AS TIMESTAMP) AS y, 4 AS e FROM orders")
 sql("fn_crypto", "SELECT p_partkey, sha1(p_name) AS s, CAST(aes_decrypt(aes_encrypt(p_name, '0000111122223333'), '0000111122223333') AS STRING) AS a, crc32(p_name) = crc32(concat(p_name, '')) AS c, CAST(try_aes_decrypt(unhex('00'), '0000111122223333') AS STRING) AS t FROM {part}", "SELECT p_partkey, sha1(p_name) AS s, p_name AS a, true AS c, CAST(NULL AS VARCHAR) AS t FROM part")
-sql("fn_session", "SELECT current_user() = user() AS u, length(uuid()) AS n, typeof(current_database()) AS d, current_catalog() IS NOT NULL AS c, version() IS NOT NULL AS v, current_timezone() AS z", "SELECT true AS u, 36 AS n, 'string' AS d, true AS c, true AS v, 'UTC' AS z")
+sql("fn_session", "SELECT current_user() = user() AS u, length(uuid()) AS n, typeof(current_database()) AS d, current_catalog() IS NOT NULL AS c, version() IS NOT NULL AS v, current_timezone() IS NOT NULL AS z", "SELECT true AS u, 36 AS n, 'string' AS d, true AS c, true AS v, true AS z")
 sql("fn_bitmap", "SELECT l_returnflag, sum(c) AS n FROM (SELECT l_returnflag, bitmap_bucket_number(l_partkey) AS b, bitmap_count(bitmap_construct_agg(bitmap_bit_position(l_partkey))) AS c FROM {lineitem} GROUP BY 1, 2) GROUP BY l_returnflag", "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 sql("fn_csv_xml", "SELECT p_partkey, from_csv(concat(p_partkey, ',', p_name), 'k INT, n STRING').n AS c, to_csv(named_struct('a', p_partkey, 'b', p_name)) AS t, xpath_string(concat('<p><n>', p_name, '</n></p>'), 'p/n') AS x FROM {part}", "SELECT p_partkey, p_name AS c, p_partkey || ',' || p_name AS t, p_name AS x FROM part")
 sql("fn_histogram", "SELECT l_returnflag, CAST(aggregate(h, 0D, (a, x) -> a + x.y) AS BIGINT) AS n, size(h) AS bins FROM (SELECT l_returnflag, histogram_numeric(l_quantity, 5) AS h FROM {lineitem} GROUP BY 1)", "SELECT l_returnflag, count(*) AS n, 5 AS bins FROM lineitem GROUP BY 1")
