@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metaspan.operators import graph as G
 from metaspan.operators import meta as M
 from metaspan.operators import semantics as S
 from metaspan.queries_meta import _COLS, _COS, KEYS, STAR, catalog, part_pairs, part_terms
@@ -143,11 +142,6 @@ def family_status(t):
     return S.family_status(members, edges, least_edges=5)
 
 
-@query(None)
-def communities(t):
-    return G.communities(part_pairs(t).withColumnRenamed("cosine", "w"))
-
-
 @query("SELECT 'n' || c_nationkey AS node, count(*) AS members FROM customer GROUP BY 1 UNION ALL SELECT 'r' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 'world', count(*) FROM customer")
 def concept_member_rollup(t):
     tag = lambda c, x: F.concat(F.lit(x), F.col(c).cast("string"))

@@ -136,26 +136,6 @@ def test_numbers_of_many_rows(spark, adaptive, advisory):
             spark.conf.set(k, v)
 
 
-def test_communities(spark):
-    """Cliques on a ring are communities, each connected, and modularity is that of the partition."""
-    n, k = 8, 6
-    rows = [(c * k + i, c * k + j, 1.0) for c in range(n) for i in range(k) for j in range(i)] + [(c * k, (c + 1) % n * k + 1, 1.0) for c in range(n)]
-    edges = spark.createDataFrame(rows, "a int, b int, w double")
-    named = G.communities(edges)
-    got = {r.node: r.community for r in named.collect()}
-    groups = {}
-    for x, c in got.items():
-        groups.setdefault(c, set()).add(x)
-    assert set(got) == set(range(n * k)) and all(min(g) == c for c, g in groups.items())
-    assert all(len({got[c * k + i] for i in range(k)}) == 1 for c in range(n))
-    m2 = 2 * len(rows)
-    degree = {}
-    for a, b, _ in rows:
-        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-    q = sum(2 * sum(1 for a, b, _ in rows if a in g and b in g) / m2 - (sum(degree[x] for x in g) / m2) ** 2 for g in groups.values())
-    assert G.modularity(edges, named).first().q == pytest.approx(q) and q > 0.6
-
-
 def test_plan_facts_of_a_table(spark, tmp_path):
     tasks = {f"k{i}": f"SELECT a + {i % 7} AS c FROM t; SELECT b FROM t WHERE a > {i % 3}" for i in range(40)}
     catalog = {"t": ["a", "b"]}
