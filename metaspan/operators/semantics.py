@@ -180,29 +180,34 @@ def edge_filter(pairs: DataFrame, schemas: DataFrame, least: float, signals: int
     return pairs.filter(F.col("score") >= least).join(a, "a").join(b, "b").filter((F.col("sa") == F.col("sb")) | (F.col("signals") >= signals)).select(*pairs.columns)
 
 
-def sparse_edges(pairs: DataFrame, k: int, direct: DataFrame, most: int | None = None) -> DataFrame:
-    """pairs(a, b, score) in which each is among the other's k best, and all of direct(a, b); of these the `most` best."""
-    straight = direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    kept = M.mutual_top_k(pairs, k, "score").unionByName(pairs.join(straight, ["a", "b"], "left_semi").select("a", "b", "score")).distinct()
+def sparse_edges(top: DataFrame, direct: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs of top(a, b, score), each item's choices, in which each has chosen the other, and all of direct(a, b, score);
+    of these the `most` best."""
+    straight = direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    kept = M.mutual(top, "score").unionByName(straight).distinct()
     return kept if most is None else kept.orderBy(F.desc("score"), "a", "b").limit(most)
 
 
 def family_status(members: DataFrame, edges: DataFrame, least_size: int = 2, least_views: int = 2, least_edges: int = 1) -> DataFrame:
-    """(item, family, status, role, score) from members(item, family) and edges(a, b, views) inside families.
+    """(item, family, status, role, score) from members(item, family, n) and edges(a, b, views) inside families.
 
-    A family below least_size is a SINGLETON; it is a CANDIDATE with least_edges edges of least_views views, else WEAK. Items
-    of the greatest degree are its CORE, the others its EDGE; the score is the degree over the greatest.
+    An item stands for n alike ones (without the column for one); an edge a = b then joins all of these. A family below
+    least_size is a SINGLETON; it is a CANDIDATE with least_edges edges of least_views views, else WEAK. Items of the greatest
+    degree are its CORE, the others its EDGE; the score is the degree over the greatest.
     """
-    of = lambda c, f: members.select(F.col("item").alias(c), F.col("family").alias(f))
-    inner = edges.join(of("a", "fa"), "a").join(of("b", "fb"), "b").filter("fa = fb")
-    ends = inner.select(F.col("a").alias("item")).unionAll(inner.select(F.col("b").alias("item"))).groupBy("item").agg(F.count("*").alias("degree"))
+    members = members.select("item", "family", F.col("n").cast("long").alias("n") if "n" in members.columns else F.lit(1).cast("long").alias("n"))
+    of = lambda c, f, n: members.select(F.col("item").alias(c), F.col("family").alias(f), F.col("n").alias(n))
+    inner = edges.join(of("a", "fa", "na"), "a").join(of("b", "fb", "nb"), "b").filter("fa = fb")
+    left = inner.select(F.col("a").alias("item"), F.when(F.col("a") == F.col("b"), F.col("nb") - 1).otherwise(F.col("nb")).alias("k"))
+    ends = left.unionAll(inner.filter("a <> b").select(F.col("b").alias("item"), F.col("na").alias("k"))).groupBy("item").agg(F.sum("k").alias("degree"))
     rows = members.join(ends, "item", "left").fillna(0, ["degree"])
-    sizes = rows.groupBy("family").agg(F.count("*").alias("n"), F.max("degree").alias("top"))
-    multi = inner.filter(F.col("views") >= least_views).groupBy(F.col("fa").alias("family")).agg(F.count("*").alias("multi"))
+    sizes = rows.groupBy("family").agg(F.sum("n").alias("_n"), F.max("degree").alias("top"))
+    links = F.when(F.col("a") == F.col("b"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))
+    multi = inner.filter(F.col("views") >= least_views).groupBy(F.col("fa").alias("family")).agg(F.sum(links).alias("multi"))
     out = rows.join(sizes, "family").join(multi, "family", "left")
-    status = F.when(F.col("n") < least_size, "SINGLETON").when(F.col("multi") >= least_edges, "CANDIDATE").otherwise("WEAK")
+    status = F.when(F.col("_n") < least_size, "SINGLETON").when(F.col("multi") >= least_edges, "CANDIDATE").otherwise("WEAK")
     role = F.when((F.col("top") > 0) & (F.col("degree") == F.col("top")), "CORE").otherwise("EDGE")
-    return out.select("item", "family", status.alias("status"), role.alias("role"), F.round(F.col("degree") / F.greatest("top", F.lit(1)), 6).alias("score"))
+    return out.select("item", "family", status.alias("status"), role.alias("role"), F.round(F.col("degree") / F.greatest("top", F.lit(1).cast("long")), 6).alias("score"))
 
 
 def member_rollup(tree: DataFrame, members: DataFrame) -> DataFrame:

@@ -101,13 +101,14 @@ def structural_similarity(t):
 _TOK = "(SELECT DISTINCT p_partkey AS d, unnest(string_split(p_name, ' ')) || '_' || p_size AS w FROM part)"
 
 
-def part_terms(t):
-    return t.part.select(F.col("p_partkey").alias("d"), F.explode(F.split("p_name", " ")).alias("w"), "p_size").select("d", F.concat_ws("_", "w", "p_size").alias("w")).distinct()
+def part_terms(t, *by):
+    return t.part.select(F.col("p_partkey").alias("d"), *by, F.explode(F.split("p_name", " ")).alias("w"), "p_size").select("d", *by, F.concat_ws("_", "w", "p_size").alias("w")).distinct()
 
 
 @query(f"WITH x AS {_TOK} SELECT DISTINCT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d < b.d")
 def blocked_pairs(t):
-    return M.blocked_pairs(part_terms(t), "d", "w")
+    classes, members = M.alike(part_terms(t), "d", "w")
+    return M.expand_pairs(M.class_signals(classes).select("a", "b"), members, "d")
 
 
 @query(f"WITH x AS {_TOK}, n AS (SELECT count(DISTINCT d) AS n FROM x) SELECT w, count(*) AS df, round(ln((1 + any_value(n.n)) / (1 + count(*))) + 1, 9) AS idf FROM x, n GROUP BY w")
@@ -126,14 +127,17 @@ def tfidf_weights(t):
 _COS = f"{_TFIDF}, c AS (SELECT a.d AS a, b.d AS b, round(sum(a.u * b.u), 7) AS cosine FROM z a JOIN z b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d HAVING sum(a.u * b.u) >= 0.3)"
 
 
-def part_pairs(t):
-    """All near parts, over tokens of any frequency."""
-    return M.cosine_pairs(M.tfidf(part_terms(t), "d", "w"), "d", "w", 0.3).withColumn("cosine", F.round("cosine", 7))
+def part_pairs(t, *by):
+    """All near classes of parts with equal words (and equal columns `by`), over tokens of any frequency, and the parts of
+    each class."""
+    classes, members = M.alike(part_terms(t, *by), "d", "w", *by)
+    return M.class_cosines(classes, 0.3).withColumn("cosine", F.round("cosine", 7)), classes, members
 
 
 @query(f"WITH {_COS} SELECT a, b, cosine FROM c")
 def cosine_pairs(t):
-    return part_pairs(t)
+    pairs, _, members = part_pairs(t)
+    return M.expand_pairs(pairs, members, "d")
 
 
 _TOP = f"{_COS}, u AS (SELECT a, b, cosine FROM c UNION ALL SELECT b, a, cosine FROM c), k AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS r FROM u)"
@@ -141,29 +145,38 @@ _TOP = f"{_COS}, u AS (SELECT a, b, cosine FROM c UNION ALL SELECT b, a, cosine
 
 @query(f"WITH {_TOP} SELECT a, b, cosine, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 2")
 def primary_and_alternative(t):
-    return M.top_neighbours(part_pairs(t), 2)
+    pairs, _, members = part_pairs(t)
+    return M.class_neighbours(pairs, members, "d", 2)
 
 
 @query(f"WITH {_TOP} SELECT x.a, x.b, x.cosine FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.r <= 3 AND y.r <= 3 AND x.a < x.b")
 def mutual_top_k(t):
-    return M.mutual_top_k(part_pairs(t), 3)
+    pairs, _, members = part_pairs(t)
+    return M.mutual(M.class_neighbours(pairs, members, "d", 3))
 
 
 @query(None)
 def connected_groups(t):
-    return G.groups(part_pairs(t).filter("cosine >= 0.6"))
+    pairs, _, members = part_pairs(t)
+    near = M.cut(pairs.filter("cosine >= 0.6").select("a", "b"))
+    found = G.groups(near.filter("a <> b"))
+    copies = near.filter("a = b").select(F.col("a").alias("node")).join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    groups = found.select("node", "component").unionByName(copies).withColumnRenamed("node", "c")
+    return members.join(groups, "c").select(F.col("d").alias("node"), "component")
 
 
 @query(None)
 def complete_link_clusters(t):
-    pairs = part_pairs(t).join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("block")), "a")
+    near, _, members = part_pairs(t)
+    pairs = M.expand_pairs(near, members, "d").join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("block")), "a")
     return M.complete_link(pairs.withColumnRenamed("cosine", "score"), "block", 0.5)
 
 
 @query(f"WITH {_TFIDF}, p AS (SELECT DISTINCT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d < b.d), l AS (SELECT p.a, p.b, sum(least(za.u, zb.u)) AS lo FROM p JOIN z za ON za.d = p.a JOIN z zb ON zb.d = p.b AND zb.w = za.w GROUP BY p.a, p.b), s AS (SELECT d, sum(u) AS s FROM z GROUP BY d) SELECT p.a, p.b, round(lo / (sa.s + sb.s - lo), 7) AS score FROM p JOIN l USING (a, b) JOIN s sa ON sa.d = p.a JOIN s sb ON sb.d = p.b")
 def weighted_jaccard(t):
-    terms = part_terms(t)
-    return M.weighted_jaccard(M.tfidf(terms, "d", "w"), M.blocked_pairs(terms, "d", "w"), "d", "w").withColumn("score", F.round("score", 7))
+    classes, members = M.alike(part_terms(t), "d", "w")
+    scores = M.weighted_jaccard(M.class_tfidf(classes), M.cut(M.class_signals(classes).select("a", "b")), "c", "term")
+    return M.expand_pairs(scores.withColumn("score", F.round("score", 7)), members, "d")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 5 OR p_retailprice > 900 THEN round((coalesce(CASE WHEN p_size > 5 THEN CAST(p_size AS DOUBLE) / 50 END * 0.7::DOUBLE, 0) + coalesce(CASE WHEN p_retailprice > 900 THEN p_retailprice / 2000 END * 0.3::DOUBLE, 0)) / (CASE WHEN p_size > 5 THEN 0.7::DOUBLE ELSE 0 END + CASE WHEN p_retailprice > 900 THEN 0.3::DOUBLE ELSE 0 END), 6) END AS m FROM part")
