@@ -470,17 +470,26 @@ def review_difficulty(members: DataFrame, labels: DataFrame, rivals: DataFrame,
     have 0, so only pairs with one are made. score = max(0, low - cohesion) + outlier ratio + max(0, weak - label support) +
     ambiguity.
     """
-    size = members.select("group", "item", F.size("tokens").alias("k"))
-    words = members.select("group", "item", F.explode("tokens").alias("t"))
-    met = words.alias("x").join(words.select("group", "t", F.col("item").alias("other")), ["group", "t"]).filter("item <> other").groupBy("group", "item", "other").agg(F.count("*").alias("c"))
-    met = met.join(size, ["group", "item"]).join(size.select("group", F.col("item").alias("other"), F.col("k").alias("k2")), ["group", "other"])
-    near = met.groupBy("group", "item").agg(F.sum(F.col("c") / (F.col("k") + F.col("k2") - F.col("c"))).alias("s"))
-    count = members.groupBy("group").agg(F.count("*").alias("n"))
-    rows = members.join(count, "group").join(near, ["group", "item"], "left").join(labels, "group", "left").join(rivals.select("item").distinct().withColumn("rival", F.lit(1)), "item", "left")
-    mean = F.when(F.col("n") == 1, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("n") - 1))
+    # members of a group with equal tokens are one kind; whole numbers are summed over each denominator, in order
+    kinds = M.cut(members.groupBy("group", F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n")).withColumn("kind", F.row_number().over(Window.partitionBy("group").orderBy("tokens"))))
+    words = kinds.select("group", "kind", "n", F.size("tokens").alias("k"), F.explode("tokens").alias("t"))
+    other = words.select("group", "t", F.col("kind").alias("kind2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    met = words.join(other, ["group", "t"]).groupBy("group", "kind", "kind2", "n2", "k", "k2").agg(F.count("*").alias("c"))
+    met = met.select("group", "kind", (F.col("c") * (F.col("n2") - (F.col("kind") == F.col("kind2")).cast("int"))).alias("x"), (F.col("k") + F.col("k2") - F.col("c")).alias("u"))
+    met = met.groupBy("group", "kind", "u").agg(F.sum("x").alias("x"))
+    near = met.groupBy("group", "kind").agg(F.array_sort(F.collect_list(F.struct("u", "x"))).alias("l"))
+    near = near.select("group", "kind", F.aggregate("l", F.lit(0.0), lambda acc, v: acc + v["x"] / v["u"]).alias("s"))
+    count = kinds.groupBy("group").agg(F.sum("n").alias("all"))
+    # a mean that lies on the threshold is not below it, however its sum was rounded
+    rows = kinds.join(count, "group").join(near, ["group", "kind"], "left")
+    mean = F.when(F.col("all") == 1, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("all") - 1))
+    low_ones = F.sum(F.when(F.col("m") < outlier - 1e-12, F.col("n")).otherwise(0))
+    close = rows.withColumn("m", mean).groupBy("group").agg(F.sum("n").alias("n"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("cohesion"), (low_ones / F.sum("n")).alias("outlier_ratio"))
     squeeze = lambda c: F.upper(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("")))
     says = (squeeze("label") != "") & F.contains(squeeze("text"), squeeze("label"))
-    out = rows.withColumn("m", mean).groupBy("group").agg(F.count("*").alias("n"), F.avg("m").alias("cohesion"), F.avg((F.col("m") < outlier).cast("int")).alias("outlier_ratio"), F.avg(says.cast("int")).alias("label_support"), F.avg(F.coalesce("rival", F.lit(0))).alias("ambiguity"))
+    told = members.select("group", "item", "text").join(labels, "group", "left").join(rivals.select("item").distinct().withColumn("rival", F.lit(1)), "item", "left")
+    told = told.groupBy("group").agg(F.avg(says.cast("int")).alias("label_support"), F.avg(F.coalesce("rival", F.lit(0))).alias("ambiguity"))
+    out = close.join(told, "group")
     score = F.greatest(F.lit(0.0), low - F.col("cohesion")) + F.col("outlier_ratio") + F.greatest(F.lit(0.0), weak - F.col("label_support")) + F.col("ambiguity")
     return out.withColumn("score", F.round(score, 6)).withColumns({c: F.round(c, 6) for c in ("cohesion", "outlier_ratio", "label_support", "ambiguity")})
 

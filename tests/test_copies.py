@@ -49,6 +49,13 @@ def test_family_of_copies(spark, copies):
     assert {tuple(r) for r in got} == {("CANDIDATE", "CORE", 1.0, COPIES), ("CANDIDATE", "EDGE", 0.0, 1)}
 
 
+def test_difficulty_of_copies(spark, copies):
+    (got,) = QUERIES["review_difficulty"](spark, copies).collect()
+    # a copy's mean is all but one other, and the lone part shares the type with each (1 of 5 words)
+    want = (COPIES * ((COPIES - 1 + 0.2) / COPIES) + 0.2) / (COPIES + 1)
+    assert got.n == COPIES + 1 and got.cohesion == round(want, 6) and got.outlier_ratio == 0.0
+
+
 @pytest.mark.parametrize("name", ["blocked_pairs", "cosine_pairs", "weighted_jaccard", "edge_filter"])
 def test_pairs_are_made_last(spark, copies, name):
     plan = QUERIES[name](spark, copies)._jdf.queryExecution().executedPlan().toString()
