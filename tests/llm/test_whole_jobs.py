@@ -1,11 +1,14 @@
 """Whole jobs of the training-data operators: verdicts, links and licences where a limit would have cut them."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from metaspan.llm import embedding_dedup as E
 from metaspan.llm import license_scan, url_filter
+from metaspan.llm.scratch import CLEANUP, release, written
 
 
 def test_host_verdicts_do_not_depend_on_the_size_of_the_table(spark):
@@ -115,3 +118,20 @@ modification, are permitted provided that the following conditions are met:
     texts = [bsd3, bsd3[: bsd3.index("3. Neither")], isc, mpl, "Licensed under the MIT License, see below", "This is free and unencumbered software released into the public domain.", GPL.format(3).replace("General", "Affero General")]
     got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
     assert got == {0: "BSD-3-Clause", 1: "BSD-2-Clause", 2: "ISC", 3: "MPL-2.0", 4: "MIT", 5: "Unlicense", 6: "AGPL-3.0-or-later"}
+
+
+def test_shuffles_of_written_tables_leave_the_disk(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = disk.getAllFiles()
+        return {names.apply(k).getName() for k in range(names.size()) if names.apply(k).getName().startswith("shuffle_")}
+
+    had = shuffles()
+    out = written(spark.range(50_000).groupBy((F.col("id") % 999).alias("k")).count(), "test")
+    until = time.time() + 10  # they go in the background
+    while shuffles() - had and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - had and out.count() == 999
+    assert spark.conf.get(CLEANUP, None) is None
+    release(out)
