@@ -10,7 +10,8 @@ equal windows have equal anchors at equal offsets, so windows can only meet with
     holders are split over tasks; what then is lone in its part meets the others by window digest (128 bits).
 3.  So bytes decide every run. Where a run has more holders than the two that were compared, the others take over its spans
     by (h, c), together with the 128-bit digest of the compared bytes; before a span is cut, the bytes there are held
-    against that digest. Runs with very many holders meet them by broadcast, of a number that is bounded.
+    against that digest. Runs with very many holders are few (at most SHARES), so they go to the texts: each text looks its own
+    runs up, and gives one row however many of them it holds. No row is made per holder and run.
 4.  Spans are joined to the texts, merged and cut out.
 Texts are known by their MD5 digest; texts with equal digests count as copies.
 """
@@ -35,29 +36,55 @@ LENGTH = 200
 GRAM = 64
 #: Holders of one anchor that a task sorts together.
 GROUP = 2048
-#: A run with more than this share of all anchor rows (and HOT rows) meets its holders by broadcast: there are at most
-#: SHARES of them.
+#: A run with more than this share of all anchor rows (and HOT rows) is looked up by its holders: there are at most SHARES of
+#: them.
 SHARES, HOT = 20_000, 500
 
 
-def _anchor_rows(length: int):
+def _anchors(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(h, c, row of the column, run) of the runs of windows, in chunks; rows ascend."""
     width = length - GRAM + 1
+    for i, _, data, at in bo.chunks(column):
+        if len(data) < length:
+            continue
+        c = bo.prefix_hash(data)
+        start = np.arange(len(data) - GRAM + 1)
+        grams = bo.substring(c, start, start + GRAM)
+        doc, place, w0, w1 = bo.anchors(grams, at[:-1], np.maximum(at[:-1], at[1:] - GRAM + 1), width)
+        if not len(doc):
+            continue
+        whole = bo.substring(c, w0, w1 + length)
+        run_of = ((w0 - at[doc]) << 16) | ((place - w0) << 8) | (w1 - w0)
+        yield grams[place].view(np.int64), whole.view(np.int64), i + doc, run_of
+
 
+def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for i, _, data, at in bo.chunks(batch.column(1)):
-                if len(data) < length:
-                    continue
-                c = bo.prefix_hash(data)
-                start = np.arange(len(data) - GRAM + 1)
-                grams = bo.substring(c, start, start + GRAM)
-                doc, place, w0, w1 = bo.anchors(grams, at[:-1], np.maximum(at[:-1], at[1:] - GRAM + 1), width)
-                if not len(doc):
+            for h, c, row, run_of in _anchors(batch.column(1), length):
+                yield pa.record_batch([pa.array(h), pa.array(c), batch.column(0).take(pa.array(row)), pa.array(run_of)], ["h", "c", "key", "run"])
+
+    return run
+
+
+def _frequent_spans(length: int, frequent: list[tuple[int, int, bytes]]):
+    """Per text that holds runs of `frequent` (h, c, digest): its key and their (span, digest), in one row."""
+    known = {(h, c): k for k, (h, c, _) in enumerate(frequent)}
+    anchors = np.sort(np.array([h for h, _, _ in frequent], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c, row, run_of in _anchors(batch.column(1), length):
+                near = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)] == h)
+                found = [known.get(x, -1) for x in zip(h[near].tolist(), c[near].tolist())]
+                at = near[np.array(found, np.int64) >= 0]
+                if not len(at):
                     continue
-                whole = bo.substring(c, w0, w1 + length)
-                run_of = ((w0 - at[doc]) << 16) | ((place - w0) << 8) | (w1 - w0)
-                yield pa.record_batch([pa.array(grams[place].view(np.int64)), pa.array(whole.view(np.int64)), keys.take(pa.array(i + doc)), pa.array(run_of)], ["h", "c", "key", "run"])
+                edge = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
+                span = (run_of[at] >> 16 << 16) | ((run_of[at] & 255) + length)
+                pairs = pa.StructArray.from_arrays([pa.array(span), pa.array([frequent[k][2] for k in found if k >= 0], pa.binary())], ["span", "digest"])
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate((edge, [len(at)])), pa.int32()), pairs)
+                yield pa.record_batch([batch.column(0).take(pa.array(row[at][edge])), spans], ["key", "spans"])
 
     return run
 
@@ -212,16 +239,20 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     apart = found.filter("digest is not null and h is null")
     again = apart.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
     lone = apart.filter("span >= 0").join(again, "digest", "left_semi")
-    # runs with several holders: those with very many are few, so their holders need not move
+    # runs with several holders: those with very many are few, so these go to the texts
     classes = found.filter("h is not null").select("h", "c", "n", "digest")
     bound = max(HOT, (same.agg(F.sum("n")).first()[0] or 0) // SHARES)
-    hot = F.broadcast(classes.filter(F.col("n") > bound).select("h", "c", "digest"))
-    rest = members.join(hot, ["h", "c"], "left_anti").join(classes.filter(F.col("n") <= bound).select("h", "c", "digest"), ["h", "c"])
-    whole = members.join(hot, ["h", "c"]).unionByName(rest)
+    frequent = [(r.h, r.c, bytes(r.digest)) for r in classes.filter(F.col("n") > bound).collect()]
+    whole = members.join(classes.filter(F.col("n") <= bound).select("h", "c", "digest"), ["h", "c"])
     whole = whole.select("key", F.expr(f"shiftleft(shiftright(run, 16), 16) | ((run & 255) + {length})").alias("span"), "digest")
     nothing = F.lit(None).cast("binary").alias("digest")
     spans = whole.unionByName(found.filter("digest is null").select("key", "span", nothing)).unionByName(lone.select("key", "span", nothing))
-    spans = written(spans.groupBy("key").agg(F.collect_set(F.struct("span", "digest")).alias("spans")), "spans")
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("span", "digest")).alias("spans"))
+    if frequent:  # copies of a text give equal lists
+        held = docs.select("key", "text").mapInArrow(_frequent_spans(length, frequent), "key binary, spans array<struct<span:long,digest:binary>>")
+        held = held.groupBy("key").agg(F.first("spans").alias("spans"))
+        spans = spans.unionByName(held).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = written(spans, "spans")
     release(members, same, wants, found)
     return spans
 
