@@ -168,8 +168,8 @@ def connected_groups(t):
 @query(None)
 def complete_link_clusters(t):
     near, _, members = part_pairs(t)
-    pairs = M.expand_pairs(near, members, "d").join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("block")), "a")
-    return M.complete_link(pairs.withColumnRenamed("cosine", "score"), "block", 0.5)
+    brands = t.part.select(F.col("p_partkey").alias("d"), F.col("p_brand").alias("block"))
+    return M.class_complete_link(near.withColumnRenamed("cosine", "score"), members, brands, "d", "block", 0.5)
 
 
 @query(f"WITH {_TFIDF}, p AS (SELECT DISTINCT a.d AS a, b.d AS b FROM x a JOIN x b ON a.w = b.w AND a.d < b.d), l AS (SELECT p.a, p.b, sum(least(za.u, zb.u)) AS lo FROM p JOIN z za ON za.d = p.a JOIN z zb ON zb.d = p.b AND zb.w = za.w GROUP BY p.a, p.b), s AS (SELECT d, sum(u) AS s FROM z GROUP BY d) SELECT p.a, p.b, round(lo / (sa.s + sb.s - lo), 7) AS score FROM p JOIN l USING (a, b) JOIN s sa ON sa.d = p.a JOIN s sb ON sb.d = p.b")
